@@ -86,27 +86,27 @@ def quaternion_pose(q, shift) -> Column:
     return pose_array(rotation, [col(s) for s in shift])
 
 
-def pose_quaternion(t: Column | str) -> list[Column]:
-    """Quaternion (w, x, y, z) of a pose, by the largest of its four squares, w not negative."""
-    m = entries(t)
-    r = {(i, j): m[4 * i + j] for i in range(3) for j in range(3)}
-    squares = [1 + r[0, 0] + r[1, 1] + r[2, 2], 1 + r[0, 0] - r[1, 1] - r[2, 2],
-               1 - r[0, 0] + r[1, 1] - r[2, 2], 1 - r[0, 0] - r[1, 1] + r[2, 2]]
-    products = {(0, 1): r[2, 1] - r[1, 2], (0, 2): r[0, 2] - r[2, 0], (0, 3): r[1, 0] - r[0, 1],
-                (1, 2): r[0, 1] + r[1, 0], (1, 3): r[0, 2] + r[2, 0], (2, 3): r[1, 2] + r[2, 1]}
-    largest = F.greatest(*squares)
-
-    def part(k: int) -> Column:
-        out = None
+def pose_quaternion(t: Column | str) -> Column:
+    """Quaternion array (w, x, y, z) of a pose, by the largest of its four squares, w not negative. The pose is bound
+    once by a transform, so its own expression is not repeated."""
+
+    def parts(m: Column) -> Column:
+        r = {(i, j): m[4 * i + j] for i in range(3) for j in range(3)}
+        squares = [1 + r[0, 0] + r[1, 1] + r[2, 2], 1 + r[0, 0] - r[1, 1] - r[2, 2],
+                   1 - r[0, 0] + r[1, 1] - r[2, 2], 1 - r[0, 0] - r[1, 1] + r[2, 2]]
+        products = {(0, 1): r[2, 1] - r[1, 2], (0, 2): r[0, 2] - r[2, 0], (0, 3): r[1, 0] - r[0, 1],
+                    (1, 2): r[0, 1] + r[1, 0], (1, 3): r[0, 2] + r[2, 0], (2, 3): r[1, 2] + r[2, 1]}
+        options = []
         for lead in range(4):
             root = F.sqrt(F.greatest(squares[lead], F.lit(0.0)))
-            value = root / 2 if lead == k else products[min(lead, k), max(lead, k)] / (2 * root)
-            out = F.when(squares[lead] == largest, value) if out is None else out.when(squares[lead] == largest, value)
-        return out
+            options.append(F.array(*[root / 2 if lead == k else products[min(lead, k), max(lead, k)] / (2 * root)
+                                     for k in range(4)]))
+        largest = F.greatest(*squares)
+        return (F.when(squares[0] == largest, options[0]).when(squares[1] == largest, options[1])
+                .when(squares[2] == largest, options[2]).otherwise(options[3]))
 
-    parts = [part(k) for k in range(4)]
-    sign = F.when(parts[0] < 0, -1.0).otherwise(1.0)
-    return [sign * p for p in parts]
+    raw = F.transform(F.array(col(t)), parts)
+    return F.transform(raw, lambda q: F.transform(q, lambda v: F.when(q[0] < 0, -v).otherwise(v)))[0]
 
 
 def project(point, k: tuple, d: tuple) -> tuple[Column, Column]:
@@ -238,7 +238,7 @@ def masked_pixels(quads: DataFrame, size: tuple, scale: float = 1.6, keys: list[
         F.bround(p["u"]).alias("u"), F.bround(p["v"]).alias("v"))).alias("g"))
     spans = {}
     for c, limit in (("u", size[0]), ("v", size[1])):
-        values = F.transform(F.col("g"), lambda p, c=c: p[c])
+        values = F.col("g")[c]
         spans[c] = (F.greatest(F.lit(0), F.array_min(values)).cast("int"),
                     F.least(F.lit(limit - 1), F.array_max(values)).cast("int"))
     sized = grown.withColumns({"u0": spans["u"][0], "u1": spans["u"][1], "v0": spans["v"][0], "v1": spans["v"][1]}).where(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacloud.plans import clouds
+from stratacloud.plans import clouds, selection
 
-MODULES = (clouds,)
+MODULES = (clouds, selection)
 
 
 def queries() -> dict:
