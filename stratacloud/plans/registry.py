@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacloud.plans import clouds, selection
+from stratacloud.plans import clouds, selection, statistics
 
-MODULES = (clouds, selection)
+MODULES = (clouds, selection, statistics)
 
 
 def queries() -> dict:
