@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacloud.plans import clouds, selection, statistics
+from stratacloud.plans import clouds, neighbourhoods, selection, statistics
 
-MODULES = (clouds, selection, statistics)
+MODULES = (clouds, selection, statistics, neighbourhoods)
 
 
 def queries() -> dict:
