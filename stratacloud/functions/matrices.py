@@ -79,3 +79,32 @@ def motion_matrix(step: np.ndarray) -> np.ndarray:
     out[:3, :3] = rotation_vector_matrix(np.asarray(step[:3], dtype=float))
     out[:3, 3] = step[3:]
     return out
+
+
+@F.pandas_udf(DOUBLES)
+def motion_pose(step: pd.Series) -> pd.Series:
+    """Small motions (rx, ry, rz, tx, ty, tz) to row-major 4x4 poses."""
+    return pd.Series([motion_matrix(np.asarray(s, dtype=float)).ravel() for s in step])
+
+
+@F.pandas_udf(DOUBLES)
+def schur_term(pp: pd.Series, pq: pd.Series, qq: pd.Series) -> pd.Series:
+    """Pp - Pq Qq^-1 Pq^T of one frame: the parameter block with the frame's pose block eliminated."""
+    out = []
+    for p, c, q in zip(pp, pq, qq):
+        q = np.asarray(q, dtype=float).reshape(6, 6)
+        p = np.asarray(p, dtype=float)
+        m = int(round(len(p) ** 0.5))
+        c = np.asarray(c, dtype=float).reshape(m, 6)
+        out.append((p.reshape(m, m) - c @ np.linalg.solve(q, c.T)).ravel())
+    return pd.Series(out)
+
+
+@F.pandas_udf(DOUBLES)
+def inverse_matrix(matrix: pd.Series) -> pd.Series:
+    out = []
+    for a in matrix:
+        a = np.asarray(a, dtype=float)
+        m = int(round(len(a) ** 0.5))
+        out.append(np.linalg.inv(a.reshape(m, m)).ravel())
+    return pd.Series(out)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacloud.plans import clouds, neighbourhoods, selection, statistics
+from stratacloud.plans import clouds, motion, neighbourhoods, selection, statistics
 
-MODULES = (clouds, selection, statistics, neighbourhoods)
+MODULES = (clouds, selection, statistics, neighbourhoods, motion)
 
 
 def queries() -> dict:
