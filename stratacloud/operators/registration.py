@@ -213,5 +213,5 @@ def fit_model(points: DataFrame, triangles: DataFrame, dof: tuple = FITS["on_boa
         "start", inverse("T").alias("T"), F.coalesce("inliers", F.lit(0).cast("long")).alias("inliers"), "rms")
     yaw = F.degrees(F.atan2(F.col("T")[4], F.col("T")[0]))
     ranked = ranked.withColumn("off_square_deg", F.abs(F.pmod(yaw + 45, F.lit(90.0)) - 45))
-    preferred = F.lit(0) if square is None else F.when(F.col("off_square_deg") <= square, 0).otherwise(1)
-    return ranked.orderBy(preferred, F.desc("inliers"), F.col("rms").asc_nulls_last(), "start").limit(1)
+    preferred = [] if square is None else [F.when(F.col("off_square_deg") <= square, 0).otherwise(1)]
+    return ranked.orderBy(*preferred, F.desc("inliers"), F.col("rms").asc_nulls_last(), "start").limit(1)

@@ -53,11 +53,12 @@ def aligned_errors(estimate: DataFrame, reference: DataFrame, keys: list[str], l
     both = posed(estimate).select(*keys, "frame", F.col("T").alias("E")).join(
         reference.where(F.col("T").isNotNull()).select(*keys, "frame", F.col("T").alias("R")), [*keys, "frame"])
     enough = both.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= 3).drop("_n")
-    both = join_keys(both, enough, keys) if keys else both
+    both = cut_lineage(join_keys(both, enough, keys) if keys else both)
     fit = align(pose_pairs(both.withColumn("T", F.col("E")), both.withColumn("T", F.col("R")), keys, lever), keys).select(*keys, F.col("T").alias("_f"))
     moved = join_keys(both, fit, keys).withColumn("A", compose("_f", "E")).drop("_f")
     gap = [F.col("A")[4 * k + 3] - F.col("R")[4 * k + 3] for k in range(3)]
-    return moved.withColumns({"ate_mm": norm(*gap), "ate_deg": turn_deg(compose(inverse("R"), F.col("A")))})
+    # one row per frame, read several times by the metrics below: written once
+    return cut_lineage(moved.withColumns({"ate_mm": norm(*gap), "ate_deg": turn_deg(compose(inverse("R"), F.col("A")))}))
 
 
 def absolute_error(errors: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,12 +144,13 @@ def relative_errors(errors: DataFrame, keys: list[str], distance: float = 50.0)
     pairs = first_later(numbered, keys, "track_along", distance)
     later = numbered.select(*keys, F.col("pos").alias("later_pos"), F.col("frame").alias("later_frame"), F.col("R").alias("R2"), F.col("E").alias("E2"))
     joined = numbered.join(pairs, [*keys, "pos"]).join(later, [*keys, "later_pos"])
-    relative = joined.withColumns({"_rr": compose(inverse("R"), F.col("R2")), "_re": compose(inverse("E"), F.col("E2"))})
+    relative = cut_lineage(joined.select(*keys, "frame", "later_frame", compose(inverse("R"), F.col("R2")).alias("_rr"),
+                                         compose(inverse("E"), F.col("E2")).alias("_re")))
     error = compose(inverse("_rr"), F.col("_re"))
     shift, _ = motion("_rr")
     sized = relative.withColumns({"_err": error, "_len": shift})
     wrong, turned = motion("_err")
-    return sized.select(*keys, "frame", "later_frame", F.try_divide(wrong * 100, F.col("_len")).alias("rpe_percent"), turned.alias("rpe_deg"))
+    return cut_lineage(sized.select(*keys, "frame", "later_frame", F.try_divide(wrong * 100, F.col("_len")).alias("rpe_percent"), turned.alias("rpe_deg")))
 
 
 def relative_summary(relative: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,7 +84,7 @@ def f5_orthogonal(spark, sf):
 
 def f6(spark, sf):
     level = fit.local_levelling(b.points(spark, sf), (20.0, 30.0, 40.0, 60.0), ["scan"], (5.0, 20.0))
-    return quantised(level.drop("C"), "a", "b", "c", "offset_mm", "tilt_deg", digits=5)
+    return quantised(level.drop("level"), "a", "b", "c", "offset_mm", "tilt_deg", digits=5)
 
 
 def f7(spark, sf):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratacloud.plans import clouds, motion, neighbourhoods, selection, statistics
+from stratacloud.plans import clouds, detections, motion, neighbourhoods, records, selection, statistics
 
-MODULES = (clouds, selection, statistics, neighbourhoods, motion)
+MODULES = (records, selection, clouds, neighbourhoods, motion, detections, statistics)
 
 
 def queries() -> dict:
