@@ -387,3 +387,64 @@ def surface_section(samples: DataFrame, axis: str, other: str, apex: tuple, half
             .select(F.bround((F.col(axis) - float(apex[0])) / step).cast("long").alias("bin"), "z")
             .groupBy("bin").agg(F.max("z").alias("z"))
             .select("bin", (F.col("bin") * F.lit(step)).alias("s"), "z"))
+
+
+# ---- truncated signed distance fusion ---------------------------------------------------------------------------------
+
+def frame_intrinsics(points: DataFrame, pixel_mm: float, frame: str = "frame") -> DataFrame:
+    """Per frame the focal length and image corner depth_raster uses: focal, u0, v0."""
+    ahead = points.where(F.col("z") > 0)
+    near = exact_quantiles(ahead, [frame], "z", {"near": ("linear", 0.02)}).select(frame, (F.col("near") / float(pixel_mm)).alias("focal"))
+    u, v = F.col("focal") * F.col("x") / F.col("z"), F.col("focal") * F.col("y") / F.col("z")
+    return ahead.join(near, frame).groupBy(frame, "focal").agg(F.floor(F.min(u)).alias("u0"), F.floor(F.min(v)).alias("v0"))
+
+
+def _pixel(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    u, v = F.col("focal") * x / z, F.col("focal") * y / z
+    return F.floor(v + 0.5 - F.col("v0")).cast("long"), F.floor(u + 0.5 - F.col("u0")).cast("long")
+
+
+def tsdf_voxels(points: DataFrame, poses: DataFrame, voxel: float = 1.0, trunc: float = 4.0, pixel_mm: float = 1.0,
+                min_weight: int = 3) -> DataFrame:
+    """Truncated signed distance volume of depth frames (frame, x, y, z, grey in camera coordinates) under poses (frame,
+    T = camera to world): voxels (vx, vy, vz) with the mean truncated distance d (positive in front of the surface), mean
+    grey and weight = frames that saw the voxel.
+
+    A frame only touches voxels along the viewing rays of its own depth pixels, within trunc of the surface. These are
+    made distinct per frame before each looks up its pixel's depth by equality on (frame, row, column)."""
+    from stratacloud.functions.geometry import apply_pose, inverse
+
+    intrinsics = frame_intrinsics(points, pixel_mm)
+    raster = depth_raster(points, pixel_mm).select("frame", F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "depth", "grey")
+    setup = intrinsics.join(poses.select("frame", "T"), "frame")
+    steps = int(math.ceil(trunc / voxel))
+    offsets = F.array(*[F.lit(k * float(voxel)) for k in range(-steps, steps + 1)])
+    # the pixel's centre ray, sampled through the band around its depth
+    ray = raster.join(setup, "frame").select("frame", "T", "focal", "u0", "v0", "row_", "col_", F.explode(offsets).alias("o"), "depth")
+    depth = F.col("depth") + F.col("o")
+    at = [(F.col("col_") + F.col("u0")) / F.col("focal") * depth, (F.col("row_") + F.col("v0")) / F.col("focal") * depth, depth]
+    world = ray.where(depth > 0).select("frame", *[F.floor(c / float(voxel)).cast("long").alias(f"v{a}") for a, c in zip(AXES, apply_pose("T", at))])
+    touched = world.distinct()
+    centred = touched.join(setup.withColumn("I", inverse("T")), "frame")
+    middle = [(F.col(f"v{a}") + 0.5) * float(voxel) for a in AXES]
+    local = centred.select("frame", "vx", "vy", "vz", "focal", "u0", "v0", *[c.alias(a) for a, c in zip(AXES, apply_pose("I", middle))]).where(F.col("z") > 0)
+    row, column = _pixel(F.col("x"), F.col("y"), F.col("z"))
+    seen = local.select("frame", "vx", "vy", "vz", "z", row.alias("row_"), column.alias("col_")).join(raster, ["frame", "row_", "col_"])
+    gap = F.col("depth") - F.col("z")
+    return (seen.where(gap >= -trunc).groupBy("vx", "vy", "vz")
+            .agg(F.avg(F.least(gap, F.lit(float(trunc)))).alias("d"), F.avg("grey").alias("grey"), F.count("*").alias("weight"))
+            .where(F.col("weight") >= min_weight))
+
+
+def tsdf_surface(voxels: DataFrame, voxel: float = 1.0) -> DataFrame:
+    """Surface points where the distance changes sign between axis neighbours, placed by linear interpolation. Each voxel
+    is sent to the three edges above and the three below it, so one grouping meets all neighbours."""
+    ends = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(high).alias("high"), *[F.lit(int(high and k == axis)).alias(f"s{k}") for k in range(3)])
+                     for axis in range(3) for high in (False, True)])
+    sent = voxels.withColumn("_e", F.explode(ends)).select(
+        *[(F.col(f"v{a}") - F.col(f"_e.s{k}")).alias(f"v{a}") for k, a in enumerate(AXES)], F.col("_e.axis").alias("axis"), F.col("_e.high").alias("high"), "d", "grey")
+    edges = sent.groupBy("vx", "vy", "vz", "axis").agg(
+        F.max(F.when(~F.col("high"), F.col("d"))).alias("d0"), F.max(F.when(F.col("high"), F.col("d"))).alias("d1"), F.avg("grey").alias("grey"))
+    cross = edges.where(((F.col("d0") > 0) & (F.col("d1") <= 0)) | ((F.col("d0") <= 0) & (F.col("d1") > 0)))
+    share = F.col("d0") / (F.col("d0") - F.col("d1"))
+    return cross.select(*[((F.col(f"v{a}") + 0.5 + F.when(F.col("axis") == k, share).otherwise(0.0)) * float(voxel)).alias(a) for k, a in enumerate(AXES)], "grey")

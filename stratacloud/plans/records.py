@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +41,6 @@ def a3(spark, sf):
 
 def _ply(spark, sf):
     """Small PLY files built from the points: one per frame and chunk."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf(T.BinaryType())
     def encode(rows: pd.Series) -> pd.Series:
         dtype = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("grey", "u1"), ("views", "<u2")])
