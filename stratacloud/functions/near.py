@@ -1,8 +1,8 @@
 """Neighbour joins on a hash grid that splits itself where points crowd.
 
 Points are distinct coordinate tuples with a weight (how many copies they stand for), so copies cost nothing. The
-plain route cuts space into cells as wide as the radius, sends each left point to the 3^d cells around it and meets
-the right points there. When a counting job finds a cell above `cap` right points, the crowded cells are split into
+plain route cuts space into cells twice as wide as the radius, sends each left point to the 2^d cells its radius touches
+and meets the right points there. When a counting job finds a cell above `cap` right points, the crowded cells are split into
 halves per axis, again and again, until every piece is small. Left points then walk down the pieces: each piece has
 a box, so its nearest and farthest possible distance bound the answer, and a piece that cannot matter is dropped
 without looking at its points. A crowded cell is therefore never paired with all its neighbours.
@@ -35,12 +35,12 @@ def _names(coords: list[str]) -> list[str]:
     return [f"_g{k}" for k in range(len(coords))]
 
 
-def around(df: DataFrame, coords: list[str], size: float, reach: int = 1) -> DataFrame:
-    """Rows repeated for every grid cell within reach of their own."""
-    cells = df
+def around(df: DataFrame, coords: list[str], size: float, radius: float) -> DataFrame:
+    """Rows repeated for every grid cell their radius touches: two per axis where cells are twice the radius wide."""
+    cells, reach = df, F.lit(radius * (1 + 1e-9) + 1e-12)
     for k, c in enumerate(coords):
-        base = F.floor(F.col(c) / F.lit(float(size))).cast("long")
-        cells = cells.withColumn(f"_g{k}", F.explode(F.sequence(base - reach, base + reach)))
+        low, high = (F.floor(v / F.lit(float(size))).cast("long") for v in (F.col(c) - reach, F.col(c) + reach))
+        cells = cells.withColumn(f"_g{k}", F.explode(F.sequence(low, high)))
     return cells
 
 
@@ -60,8 +60,8 @@ def is_crowded(points: DataFrame, keys: list[str], coords: list[str], size: floa
 def radius_pairs(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], radius: float) -> DataFrame:
     """Every left row with every right row within radius: the right's columns get the prefix n_, distance is d. For
     consumers that need all pairs; nearest and exists below prune instead."""
-    taken = right.select(*keys, *[F.col(c).alias(f"n_{c}") for c in right.columns if c not in keys], *grid(coords, radius))
-    met = around(left, coords, radius).join(taken, [*keys, *_names(coords)]).drop(*_names(coords))
+    taken = right.select(*keys, *[F.col(c).alias(f"n_{c}") for c in right.columns if c not in keys], *grid(coords, 2 * radius))
+    met = around(left, coords, 2 * radius, radius).join(taken, [*keys, *_names(coords)]).drop(*_names(coords))
     return met.withColumn("d", _distance(coords)).where(F.col("d") <= radius)
 
 
@@ -97,9 +97,9 @@ def _walk(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str],
     """Left points with the pieces that can hold one of their k nearest within radius, and the placed right points.
     Every candidate row carries _sure: the number of right points known to lie within radius by boxes alone."""
     names = _names(coords)
-    levels, placed = _pieces(right, keys, coords, radius, cap)
+    levels, placed = _pieces(right, keys, coords, 2 * radius, cap)
     boxed = ["_weight", "_open", *[f"_{e}{i}" for i in range(len(coords)) for e in ("lo", "hi")]]
-    closed, frontier = None, around(left.select(*keys, *coords), coords, radius)
+    closed, frontier = None, around(left.select(*keys, *coords), coords, 2 * radius, radius)
     per_point = Window.partitionBy(*keys, *coords)
     by_reach = per_point.orderBy("_ub").rangeBetween(Window.unboundedPreceding, 0)
     for level, boxes in enumerate(levels):
@@ -125,9 +125,9 @@ def _walk(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str],
 def _candidates(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], k: int, radius: float, cap: int) -> DataFrame:
     """Left point, right point, d for pairs within radius that include each left point's k nearest."""
     names = _names(coords)
-    if not is_crowded(right, keys, coords, radius, cap):
-        taken = _right(right.select(*keys, *coords, "_w", *grid(coords, radius)), keys, coords, names)
-        met = around(left.select(*keys, *coords), coords, radius).join(taken, [*keys, *names])
+    if not is_crowded(right, keys, coords, 2 * radius, cap):
+        taken = _right(right.select(*keys, *coords, "_w", *grid(coords, 2 * radius)), keys, coords, names)
+        met = around(left.select(*keys, *coords), coords, 2 * radius, radius).join(taken, [*keys, *names])
     else:
         pool, placed = _walk(left, right, keys, coords, k, radius, cap)
         taken = _right(placed, keys, coords, [*names, "_level"])
@@ -187,7 +187,7 @@ def exists(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str]
     within the radius settle a point without any distance."""
     left, right = distinct_points(left, keys, coords), distinct_points(right, keys, coords)
     names = _names(coords)
-    if not is_crowded(right, keys, coords, radius, cap):
+    if not is_crowded(right, keys, coords, 2 * radius, cap):
         pairs = _candidates(left, right, keys, coords, k, radius, cap)
         return pairs.groupBy(*keys, *coords).agg(F.sum("_w").alias("_t")).where(F.col("_t") >= k).select(*keys, *coords)
     pool, placed = _walk(left, right, keys, coords, k, radius, cap)

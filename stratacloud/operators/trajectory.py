@@ -48,23 +48,23 @@ def _stats(rows: DataFrame, keys: list[str], value: str, prefix: str) -> DataFra
 
 
 def aligned_errors(estimate: DataFrame, reference: DataFrame, keys: list[str], lever: float = 100.0) -> DataFrame:
-    """Common frames of keys with at least three, the estimate moved by one rigid fit on lever points: reference pose R,
-    aligned pose A, estimate pose E, position error and rotation error."""
-    both = posed(estimate).select(*keys, "frame", F.col("T").alias("E")).join(
-        reference.where(F.col("T").isNotNull()).select(*keys, "frame", F.col("T").alias("R")), [*keys, "frame"])
+    """Common frames of keys with at least three, the estimate moved by one rigid fit on lever points: reference pose T_ref,
+    aligned pose T_fit, estimate pose T_est, position error and rotation error."""
+    both = posed(estimate).select(*keys, "frame", F.col("T").alias("T_est")).join(
+        reference.where(F.col("T").isNotNull()).select(*keys, "frame", F.col("T").alias("T_ref")), [*keys, "frame"])
     enough = both.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= 3).drop("_n")
     both = cut_lineage(join_keys(both, enough, keys) if keys else both)
-    fit = align(pose_pairs(both.withColumn("T", F.col("E")), both.withColumn("T", F.col("R")), keys, lever), keys).select(*keys, F.col("T").alias("_f"))
-    moved = join_keys(both, fit, keys).withColumn("A", compose("_f", "E")).drop("_f")
-    gap = [F.col("A")[4 * k + 3] - F.col("R")[4 * k + 3] for k in range(3)]
+    fit = align(pose_pairs(both.withColumn("T", F.col("T_est")), both.withColumn("T", F.col("T_ref")), keys, lever), keys).select(*keys, F.col("T").alias("_f"))
+    moved = join_keys(both, fit, keys).withColumn("T_fit", compose("_f", "T_est")).drop("_f")
+    gap = [F.col("T_fit")[4 * k + 3] - F.col("T_ref")[4 * k + 3] for k in range(3)]
     # one row per frame, read several times by the metrics below: written once
-    return cut_lineage(moved.withColumns({"ate_mm": norm(*gap), "ate_deg": turn_deg(compose(inverse("R"), F.col("A")))}))
+    return cut_lineage(moved.withColumns({"ate_mm": norm(*gap), "ate_deg": turn_deg(compose(inverse("T_ref"), F.col("T_fit")))}))
 
 
 def absolute_error(errors: DataFrame, keys: list[str]) -> DataFrame:
     """Absolute trajectory error: RMSE, median, p95 and maximum of position and rotation, and the scale that would fit
     the camera centres best."""
-    centres = errors.select(*keys, *[F.col("E")[4 * k + 3].alias(n) for k, n in enumerate(S)], *[F.col("R")[4 * k + 3].alias(n) for k, n in enumerate(T)])
+    centres = errors.select(*keys, *[F.col("T_est")[4 * k + 3].alias(n) for k, n in enumerate(S)], *[F.col("T_ref")[4 * k + 3].alias(n) for k, n in enumerate(T)])
     scale = align(centres, keys, with_scale=True).select(*keys, F.col("scale").alias("best_fit_scale"))
     return join_keys(join_keys(_stats(errors, keys, "ate_mm", "ate_mm"), _stats(errors, keys, "ate_deg", "ate_deg"), keys), scale, keys)
 
@@ -97,10 +97,10 @@ def track_coordinates(points: DataFrame, axes: DataFrame, keys: list[str]) -> Da
 
 def error_components(errors: DataFrame, keys: list[str]) -> DataFrame:
     """RMS position error split along, across and out of plane of the reference track."""
-    rows = errors.withColumns({a: F.col("R")[4 * k + 3] for k, a in enumerate(XYZ)})
+    rows = errors.withColumns({a: F.col("T_ref")[4 * k + 3] for k, a in enumerate(XYZ)})
     axes = principal_axes(rows, keys)
     joined = join_keys(errors, axes.select(*keys, "along", "across", "up"), keys)
-    gap = [F.col("A")[4 * k + 3] - F.col("R")[4 * k + 3] for k in range(3)]
+    gap = [F.col("T_fit")[4 * k + 3] - F.col("T_ref")[4 * k + 3] for k in range(3)]
     parts = {n: dot(gap, [F.col(n)[k] for k in range(3)]) for n in ("along", "across", "up")}
     return joined.groupBy(*keys).agg(*[F.sqrt(F.avg(p * p)).alias(f"rms_{n}") for n, p in parts.items()])
 
@@ -137,15 +137,15 @@ def first_later(rows: DataFrame, keys: list[str], value: str, distance: float, b
 def relative_errors(errors: DataFrame, keys: list[str], distance: float = 50.0) -> DataFrame:
     """Relative pose error over a travelled distance: each frame with the first later one at least that far along the
     track; error of the relative motion in percent of it and in degrees."""
-    rows = errors.withColumns({a: F.col("R")[4 * k + 3] for k, a in enumerate(XYZ)})
+    rows = errors.withColumns({a: F.col("T_ref")[4 * k + 3] for k, a in enumerate(XYZ)})
     axes = principal_axes(rows, keys)
-    tracked = track_coordinates(rows.select(*keys, "frame", *XYZ, "R", "E"), axes, keys)
-    numbered = cut_lineage(positions_in_list(tracked.select(*keys, "frame", "track_along", "R", "E"), keys))
+    tracked = track_coordinates(rows.select(*keys, "frame", *XYZ, "T_ref", "T_est"), axes, keys)
+    numbered = cut_lineage(positions_in_list(tracked.select(*keys, "frame", "track_along", "T_ref", "T_est"), keys))
     pairs = first_later(numbered, keys, "track_along", distance)
-    later = numbered.select(*keys, F.col("pos").alias("later_pos"), F.col("frame").alias("later_frame"), F.col("R").alias("R2"), F.col("E").alias("E2"))
+    later = numbered.select(*keys, F.col("pos").alias("later_pos"), F.col("frame").alias("later_frame"), F.col("T_ref").alias("T_ref2"), F.col("T_est").alias("T_est2"))
     joined = numbered.join(pairs, [*keys, "pos"]).join(later, [*keys, "later_pos"])
-    relative = cut_lineage(joined.select(*keys, "frame", "later_frame", compose(inverse("R"), F.col("R2")).alias("_rr"),
-                                         compose(inverse("E"), F.col("E2")).alias("_re")))
+    relative = cut_lineage(joined.select(*keys, "frame", "later_frame", compose(inverse("T_ref"), F.col("T_ref2")).alias("_rr"),
+                                         compose(inverse("T_est"), F.col("T_est2")).alias("_re")))
     error = compose(inverse("_rr"), F.col("_re"))
     shift, _ = motion("_rr")
     sized = relative.withColumns({"_err": error, "_len": shift})
@@ -170,12 +170,12 @@ def travel(points: DataFrame, keys: list[str]) -> DataFrame:
 def travel_ratio(errors: DataFrame, keys: list[str]) -> DataFrame:
     """End-to-end span of the aligned estimate over the reference's, on the common frames (null for no motion)."""
     ends = errors.groupBy(*keys).agg(*[f(F.array(*[F.col(m)[4 * k + 3] for k in range(3)]), "frame").alias(f"_{m}{n}")
-                                       for m in ("R", "A") for n, f in (("a", F.min_by), ("z", F.max_by))])
+                                       for m in ("T_ref", "T_fit") for n, f in (("a", F.min_by), ("z", F.max_by))])
 
     def span(m):
         return norm(*[F.col(f"_{m}z")[k] - F.col(f"_{m}a")[k] for k in range(3)])
 
-    return ends.select(*keys, span("R").alias("travel_mm"), F.when(span("R") > 0, span("A") / span("R")).alias("travel_ratio"))
+    return ends.select(*keys, span("T_ref").alias("travel_mm"), F.when(span("T_ref") > 0, span("T_fit") / span("T_ref")).alias("travel_ratio"))
 
 
 def steps(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -161,7 +161,7 @@ def decode_trajectories(files: DataFrame) -> DataFrame:
 
 
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return decode_trajectories(text)
 
 

@@ -29,13 +29,19 @@ def paired_stream(right: DataFrame, left: DataFrame, max_dt_ms: float, delay: st
     without a match in reach are dropped, as the batch gate drops them.
 
     Both sides need event_time, pts_ns and frame; keys other than time belong in front of the call as a filter."""
-    reach = F.expr(f"INTERVAL {int(round(max_dt_ms * 1000))} MICROSECONDS")
-    r = right.withWatermark("event_time", delay).select(F.col("event_time").alias("r_time"), F.col("frame").alias("right_frame"), F.col("pts_ns").alias("right_pts_ns"))
-    lft = left.withWatermark("event_time", delay).select(F.col("event_time").alias("l_time"), F.col("frame").alias("left_frame"), F.col("pts_ns").alias("left_pts_ns"))
-    slack = F.expr("INTERVAL 1 MICROSECONDS")
-    near = (F.col("l_time") >= F.col("r_time") - reach - slack) & (F.col("l_time") <= F.col("r_time") + reach + slack)
+    reach_ns = int(round(max_dt_ms * 1e6))
+    reach = F.expr(f"INTERVAL {reach_ns // 1000 + 1} MICROSECONDS")
+    # the join needs an equality: time cut into buckets, a left frame sent to the one or two its reach touches
+    width = F.lit(2 * reach_ns + 1)
+    bucket = F.floor(F.col("pts_ns") / width).cast("long")
+    touched = F.sequence(F.floor((F.col("pts_ns") - reach_ns) / width).cast("long"), F.floor((F.col("pts_ns") + reach_ns) / width).cast("long"))
+    r = right.withWatermark("event_time", delay).select(F.col("event_time").alias("r_time"), F.col("frame").alias("right_frame"),
+                                                        F.col("pts_ns").alias("right_pts_ns"), bucket.alias("bucket"))
+    lft = left.withWatermark("event_time", delay).select(F.col("event_time").alias("l_time"), F.col("frame").alias("left_frame"),
+                                                         F.col("pts_ns").alias("left_pts_ns"), F.explode(touched).alias("l_bucket"))
+    near = (F.col("bucket") == F.col("l_bucket")) & (F.col("l_time") >= F.col("r_time") - reach) & (F.col("l_time") <= F.col("r_time") + reach)
     gap = F.col("right_pts_ns") - F.col("left_pts_ns")
-    joined = r.join(lft, near).where(F.abs(gap) <= max_dt_ms * 1e6)
+    joined = r.join(lft, near).where(F.abs(gap) <= reach_ns)
     best = joined.groupBy("r_time", "right_frame", "right_pts_ns").agg(
         F.min(F.struct(F.abs(gap).alias("gap"), "left_pts_ns", "left_frame")).alias("b"))
     return best.select("right_frame", F.col("b.left_frame").alias("left_frame"), "right_pts_ns", F.col("b.left_pts_ns").alias("left_pts_ns"),
