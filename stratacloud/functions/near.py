@@ -7,7 +7,7 @@ halves per axis, again and again, until every piece is small. Left points then w
 a box, so its nearest and farthest possible distance bound the answer, and a piece that cannot matter is dropped
 without looking at its points. A crowded cell is therefore never paired with all its neighbours.
 
-Without a radius limit the search starts at `radius` and doubles it for the left points that are not yet certain.
+Without a radius limit the search starts at `radius` and triples it for the left points that are not yet certain.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str
     """For every distinct left point the k nearest right points (by number of copies) as rows n_<coord>, d, _take.
 
     With a limit, neighbours beyond it do not count and left points without one have no row. Without a limit the
-    radius doubles for the uncertain points until all are certain; keys without right points have no rows."""
+    radius triples for the uncertain points until all are certain; keys without right points have no rows."""
     left = distinct_points(left, keys, coords)
     right = distinct_points(right, keys, coords)
     if limit is not None and radius >= limit:
@@ -178,7 +178,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str
         pending = cut_lineage(pending.join(done, [*keys, *coords], "left_anti"))
         if pending.limit(1).isEmpty():
             return parts
-        radius *= 2
+        radius *= 3
 
 
 def exists(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], radius: float, k: int = 1,
