@@ -124,6 +124,6 @@ def test_manifest_and_diff(spark, tmp_path):
 
 
 def test_locate(spark):
-    df = spark.createDataFrame([("/a/results/S/s20/raft/cloud.ply",), ("/a/results/analysis/x/y/z",), ("/a/results/S/summary.csv",), ("/a/other/S/s/m/f",)], "p string")
+    df = spark.createDataFrame([("/a/results/S/s20/dense/cloud.ply",), ("/a/results/analysis/x/y/z",), ("/a/results/S/summary.csv",), ("/a/other/S/s/m/f",)], "p string")
     got = [r["l"] for r in df.select(files.locate(df.p).alias("l")).collect()]
-    assert (got[0]["session"], got[0]["scan"], got[0]["method"]) == ("S", "s20", "raft") and got[1:] == [None, None, None]
+    assert (got[0]["session"], got[0]["scan"], got[0]["method"]) == ("S", "s20", "dense") and got[1:] == [None, None, None]
