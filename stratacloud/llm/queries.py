@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacloud.llm import contamination, disclosure, language, neardup, packing, tokenfile
+from stratacloud.llm import contamination, credentials, disclosure, imatch, language, neardup, packing, tokenfile, toxicity, warc
 from stratacloud.llm.common import fold
 from stratacloud.llm.spans import count_of, listed
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LANGUAGE_FOLDS, HELD_OUT_LANGUAGE = 4, 2
+TOXICITY_FOLDS = 5
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,10 +47,32 @@ def op5_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.read_archives(warc.archive(table(spark, sf, "pages")), keep_payload=False).drop("url", "payload")
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs.filter(fold(TOXICITY_FOLDS) != 0), table(spark, sf, "labels"))
+    return toxicity.score(docs.withColumn("held_out", fold(TOXICITY_FOLDS) == 0), model).drop("text")
+
+
 def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents")).drop("tkey")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op3_language, op4_disclosure, op5_contamination, op8_near_duplicates)}
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    found = imatch.fingerprints(table(spark, sf, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited")
+
+
+def op10_credentials(spark: SparkSession, sf: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf, "documents"))
+    return found.select("doc_id", *[count_of(F.col("base"), k).alias(f"n_{k}") for k in credentials.KINDS],
+                        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_file, op3_language, op4_disclosure, op5_contamination,
+                                     op6_warc, op7_toxicity, op8_near_duplicates, op9_fingerprints, op10_credentials)}
 
 ORACLES: dict[str, str] = {}
