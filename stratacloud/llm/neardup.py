@@ -137,8 +137,11 @@ def _confirm(percent: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["side", "n", "node"], ascending=[True, False, True], ignore_index=True)
         count, first = len(block), int((block.side == 0).sum())
-        sets = [np.frombuffer(s, np.uint64) for s in block.shingles]
         sizes = block.n.to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        # shingles become numbers of this block, so that one set marked in a table meets all others by look-up
+        different, flat = np.unique(np.frombuffer(b"".join(block.shingles), np.uint64), return_inverse=True)
+        flat, mark = flat.astype(np.int32), np.zeros(len(different), bool)
         signatures = np.frombuffer(b"".join(block.signature), np.uint16).reshape(count, REGISTERS)
         group = pd.factorize(block.label)[0]
         least, links = percent / 100, []
@@ -152,9 +155,11 @@ def _confirm(percent: int):
             rest = rest[likeness >= least - SIGMAS * np.sqrt(least * (1 - least) / np.maximum(used, 1))]
             if not len(rest):
                 continue
-            joined = np.concatenate([sets[j] for j in rest])
-            at = np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)
-            common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), np.cumsum(sizes[rest]) - sizes[rest])
+            own = flat[bounds[i]:bounds[i + 1]]
+            mark[own] = True
+            met = mark[np.concatenate([flat[bounds[j]:bounds[j + 1]] for j in rest])]
+            mark[own] = False
+            common = np.add.reduceat(met.astype(np.int32), np.cumsum(sizes[rest]) - sizes[rest])
             linked = rest[100 * common >= percent * (sizes[rest] + sizes[i] - common)]
             fresh = linked[np.unique(group[linked], return_index=True)[1]]
             if len(fresh):
