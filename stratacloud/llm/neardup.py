@@ -227,9 +227,11 @@ def _between_blocks(full: DataFrame, links: DataFrame, labels: DataFrame, percen
         return written(full.join(current, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 
     now = labelled(labels)
-    # 1. one hub per block, of its largest component, meets every block of its cluster
-    parts = now.groupBy("cluster", "block", "label").agg(F.count("*").alias("c"), F.min("node").alias("hub"))
-    hubs = parts.groupBy("cluster", "block").agg(F.max_by("hub", F.struct("c", "label")).alias("node")).select("node")
+    # 1. one hub per block, the set that most others were linked to, meets every block of its cluster: copies of one
+    #    text may be too far from each other and yet all near to it
+    degrees = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    ranked = now.join(degrees, "node", "left").select("cluster", "block", "node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    hubs = ranked.groupBy("cluster", "block").agg(F.max_by("node", F.struct("degree", "node")).alias("node")).select("node")
     hub_rows = now.join(hubs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = (hub_rows.withColumn("side", F.lit(0)).withColumn("block", F.col("other")).select(columns)
             .union(now.join(hubs, "node", "left_anti").withColumn("side", F.lit(1)).withColumn("other", F.col("block")).select(columns)))
