@@ -13,7 +13,6 @@ from stratacloud.plans.bindings import q, sql
 from stratacloud.plans.neighbourhoods import mesh
 from stratacloud.plans.selection import _ROT, with_pose
 from stratacloud.session import cut_lineage
-from stratacloud.streaming import tracking
 
 EDGE = 35.355339
 RIG = [1.0, 0, 0, -120.0, 0, 0.8, -0.6, 5.0, 0, 0.6, 0.8, 2.0, 0, 0, 0, 1.0]
@@ -119,11 +118,6 @@ def f10(spark, sf):
     return rounds
 
 
-def f11(spark, sf):
-    frames = tracking.thinned_frames(b.points(spark, sf).select(F.col("scan").alias("recording"), "frame", "x", "y", "z"), 4.0)
-    return tracking.track(frames, voxel=4.0, iterations=4, map_frames=4).select("recording", "frame", "fitness", "rmse", "lost")
-
-
 def d5(spark, sf):
     frames = b.points(spark, sf).select("frame", "x", "y", (F.col("z") * 0.5 + 100).alias("z"), "grey")
     poses = b.poses(spark, sf).select("frame", g.quaternion_pose(
@@ -306,7 +300,7 @@ def g14(spark, sf):
 QUERIES = {
     "f1_rigid_fit": f1, "f2_similarity_fit": f2, "f3_lever_points": f3, "f4_mean_rotation": f4, "f4_remove_common": f4_common,
     "f5_plane_fit": f5, "f5_orthogonal_plane": f5_orthogonal, "f6_local_levelling": f6, "f7_gated_refit": f7, "f8_model_to_scan": f8,
-    "f9_cloud_icp": f9, "f9_point_icp": f9_point, "f10_frame_refinement": f10, "f11_tracking": f11, "d5_tsdf_surface": d5, "f12_initial_layout": f12, "f13_refine_layout": f13,
+    "f9_cloud_icp": f9, "f9_point_icp": f9_point, "f10_frame_refinement": f10, "d5_tsdf_surface": d5, "f12_initial_layout": f12, "f13_refine_layout": f13,
     "f14_board_frame": f14, "f15_frame_poses": f15, "f16_layout_transform": f16, "f17_trajectory_alignment": f17, "f18_trend": f18,
     "f19_covariance": f19, "g1_registration": g1, "g2_absolute_error": g2, "g3_relative_error": g3, "g4_error_components": g4,
     "g5_travel": g5, "g5_span": g5_span, "g6_assess": g6, "g7_restart": g7, "g8_anchor_method": g8, "g9_clean_reference": g9, "g10_path_segments": g10,

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stratacloud.operators import cloud, sync
-from stratacloud.streaming import streams, tracking
+from stratacloud.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,30 +63,6 @@ def test_paired_stream_equals_batch(spark, tmp_path):
     pd.testing.assert_frame_equal(got, want)
 
 
-def scene(n=14):
-    """A bumpy plane seen by a camera gliding along x; frame 9 looks at nothing."""
-    rng = np.random.default_rng(1)
-    world = np.c_[rng.uniform(0, 120, 5000), rng.uniform(0, 25, 5000)]
-    world = np.c_[world, 2.5 * np.sin(world[:, 0] / 4) + 2 * np.cos(world[:, 1] / 3)]
-    rows = []
-    for f in range(n):
-        seen = world[(world[:, 0] > 3 * f) & (world[:, 0] < 3 * f + 40)] - [3.0 * f, 0, 0]
-        rows += [("a", f, *(p if f != 9 else p + [0, 0, 400])) for p in seen]
-    return pd.DataFrame(rows, columns=["recording", "frame", "x", "y", "z"])
-
-
-def test_tracking_batch_and_stream(spark, tmp_path):
-    points = spark.createDataFrame(scene())
-    frames = tracking.thinned_frames(points, 2.0)
-    batch = tracking.track(frames, iterations=15, map_frames=5).toPandas().sort_values("frame", ignore_index=True)
-    x = np.array([t[3] for t in batch["T"]])
-    assert batch["lost"].tolist() == [int(f == 9) for f in range(14)]
-    np.testing.assert_allclose(x, 3.0 * np.arange(14), atol=1.5)
-    stream = write_parts(frames, str(tmp_path / "in"), ["frame"], 3)
-    got = drain(tracking.track_stream(stream, iterations=15, map_frames=5), "tracks").toPandas().sort_values("frame", ignore_index=True)
-    np.testing.assert_allclose(np.array(got["T"].tolist()), np.array(batch["T"].tolist()), atol=1e-9)
-
-
 def test_tsdf_plane(spark):
     rng = np.random.default_rng(2)
     rows = []
