@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1, higher: class 1 likelier) and predicted (1 if score >= 0.5) added; columns of these names
     are replaced. A null, empty or wordless text gets the score of the bias alone. The whole text counts."""
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(columns).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(columns).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
