@@ -6,10 +6,13 @@ collisions thins them, and full shingle sets confirm every link.
    mantissa bits (16 bits together). Bands of 4 registers are keys; nodes that share a key are chained through its
    smallest node, first inside a batch and then across batches, so a key shared by a third of all nodes sends one row
    per batch. Two sets at similarity 0.75 share no key with odds of 5 in a million.
-3. Chains give loose clusters, which hold every true link. Clusters are cut into blocks of bounded size. Inside a
-   block, sets in different components are compared: first sizes, then signatures, then the sets. For clusters of
-   several blocks, one hub per block then meets all blocks, and what still stands apart from a cluster's main
-   component meets the rest block by block. No links are lost, and groups of copies cost no pairs.
+3. Chains give loose clusters, which hold every true link. A passage that many texts share makes them very large, so
+   they are taken apart by their full sets: with a cluster's shingles in one order, rarest first, two linked sets share
+   one among the first n - ceil(0.75 n) + 1 of each. Only sets that share such a shingle stay chained.
+4. What is left is cut into blocks of bounded size. Inside a block, sets in different components are compared: first
+   sizes, then how many of their shingles any other set has, then signatures, then the sets. For clusters of several
+   blocks, one hub per block then meets all blocks, and what still stands apart from a cluster's main component meets
+   the rest block by block. No links are lost, and groups of copies cost no pairs.
 """
 
 from __future__ import annotations
@@ -135,20 +138,25 @@ def _confirm(percent: int):
 
     Side 0 meets side 0 and side 1; side 1 does not meet itself. Sets already connected are not compared again."""
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["side", "n", "node"], ascending=[True, False, True], ignore_index=True)
+        block = block.sort_values(["side", "node"], ignore_index=True)
         count, first = len(block), int((block.side == 0).sum())
         sizes = block.n.to_numpy()
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         # shingles become numbers of this block, so that one set marked in a table meets all others by look-up
-        different, flat = np.unique(np.frombuffer(b"".join(block.shingles), np.uint64), return_inverse=True)
+        different, flat, held = np.unique(np.concatenate(block.shingles.to_numpy()), return_inverse=True, return_counts=True)
         flat, mark = flat.astype(np.int32), np.zeros(len(different), bool)
+        # a set has no more in common with another than its shingles that any other set has
+        shared = np.add.reduceat((held > 1)[flat].astype(np.int32), bounds[:-1])
+        # sets whose shingles most others have go first: what they link need not be compared again
+        common_first = np.lexsort((-np.add.reduceat(held[flat], bounds[:-1]) / sizes, block.side.to_numpy()))
         signatures = np.frombuffer(b"".join(block.signature), np.uint16).reshape(count, REGISTERS)
         group = pd.factorize(block.label)[0]
         least, links = percent / 100, []
-        for i in range(first):
-            rest = i + 1 + np.flatnonzero(group[i + 1:] != group[i])
-            a, b = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            rest = rest[100 * a >= percent * b]
+        for place, i in enumerate(common_first[:first]):
+            rest = common_first[place + 1:]
+            rest = rest[group[rest] != group[i]]
+            most = np.minimum(np.minimum(sizes, shared)[rest], min(sizes[i], shared[i]))
+            rest = rest[100 * most >= percent * (sizes[rest] + sizes[i] - most)]
             if not len(rest):
                 continue
             likeness, used = estimate(signatures[i], signatures[rest], sizes[i], sizes[rest])
@@ -182,19 +190,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, block_shi
     nodes = written(sketches.filter("node IS NOT NULL").groupBy("node")
                     .agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("n_shingles").alias("n"),
                          F.first("signature").alias("signature")), "nodes")
-    clusters = components(_chains(nodes)).withColumnRenamed("label", "cluster")
-    sizes = clusters.join(nodes.select("node", "n"), "node").groupBy("cluster").agg(
-        F.ceil(F.sum("n") / F.lit(block_shingles)).alias("blocks"))
-    members = (clusters.join(nodes, "node").join(sizes, "cluster")
-               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    members = written(members.select("node", "tkey", "n", "signature", "cluster", "blocks", "block"), "members")
-    full = written(members.join(_sets(docs, members, size), "node"), "member-sets")
+    loose = components(_chains(nodes)).withColumnRenamed("label", "cluster")
+    loose = written(loose.join(nodes, "node").select("node", "tkey", "n", "signature", "cluster"), "members")
+    loose = written(loose.join(_sets(docs, loose, size), "node").withColumn("id", F.xxhash64("node")), "member-sets")
+    clusters = components(_rare_chains(loose, percent)).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+    members = loose.select("id", "n").join(clusters, "id")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).alias("blocks"))
+    full = (loose.drop("cluster").join(clusters, "id").join(sizes, "cluster")
+            .withColumn("block", F.pmod(F.col("id"), F.col("blocks"))))
+    full = written(full.select("node", "n", "signature", "shingles", "cluster", "blocks", "block"), "clustered-sets")
 
     schema = "a binary, b binary"
     alone = full.select("node", F.col("node").alias("label"), F.lit(0).alias("side"), "n", "signature", "shingles", "cluster", "block")
     links = written(alone.groupBy("cluster", "block").applyInPandas(_confirm(percent), schema), "confirmed")
     labels = components(links)
-    if not members.filter("blocks > 1").isEmpty():
+    if not sizes.filter("blocks > 1").isEmpty():
         links, labels = _between_blocks(full.filter("blocks > 1"), links, labels, percent)
     named = (nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -210,13 +220,35 @@ def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*text_bytes(batch), size)
-            yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()),
-                                   pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), shingles], names=["node", "shingles"])
 
     wanted = members.select("tkey").distinct()
     rows = docs.select("text", F.xxhash64("text").alias("tkey")).join(wanted, "tkey", "left_semi")
     # copies of a text have one key: combined to one set per node before they are shuffled
-    return rows.mapInArrow(run, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return rows.mapInArrow(run, "node binary, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _rare_chains(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that chain all ids of one cluster that share a shingle among the first of both, rarest first.
+
+    sets: id, n, cluster, shingles. Any order would do; the rarest come first because few sets share them. Shingles that
+    very many sets have meet their counts in joins of written tables, which adaptive execution splits."""
+    rows = sets.select("id", "n", F.explode("shingles").alias("shingle"), "cluster")
+    rows = rows.select("id", "n", F.xxhash64("cluster", "shingle").alias("key"))
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shingle-counts")
+    shared = rows.join(counts, "key").groupBy("id").agg(
+        F.first("n").alias("n"), F.collect_list(F.struct("held", "key")).alias("shared"))
+    # shingles of one set alone are rarer than all of these and take their places
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    places = (F.col("n") - least + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    keys = shared.withColumn("places", places).filter("places > 0").select(
+        "id", F.explode(F.slice(F.sort_array("shared"), F.lit(1), F.col("places")).getField("key")).alias("key"))
+    keys = written(keys, "rare-shingles")
+    centres = written(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).filter("b != last")
+                      .select("key", "b"), "centres")
+    return keys.join(centres, "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
 
 
 def _between_blocks(full: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
