@@ -25,6 +25,7 @@ TRAIN_BYTES = 3_000         # texts for training are no longer than this; scorin
 BUCKETS, WIDTH = 1 << 17, 4
 SIZES = (3, 4, 5)
 WINDOW = 64                 # words
+PART = 1 << 19              # bytes of text whose n-grams are in memory at a time, but for longer texts
 ROUNDS, RATE, SCALE = 60, 0.08, 300.0
 
 
@@ -92,26 +93,34 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS), 1.0, 30.0 if len(y) and y.all() else -30.0)
     raw = [t.encode() for t in texts]
-    buckets, owners, counts = subwords(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    words = int(counts[-1])
-    starts, bounds = _windows(counts)
-    window_of = np.searchsorted(starts, np.arange(words), "right") - 1
-    size = np.maximum(np.bincount(window_of, minlength=len(starts)), 1)
-    each = np.diff(bounds)
+    windows, each, parts = 0, [], []
+    for buckets, owners, counts in _parts(raw):
+        starts, bounds = _windows(counts)
+        words = int(counts[-1])
+        window_of = np.searchsorted(starts, np.arange(words), "right") - 1
+        size = np.maximum(np.bincount(window_of, minlength=len(starts)), 1)
+        per_word = np.maximum(np.bincount(owners, minlength=words), 1)
+        # an n-gram's share in its window's vector; equal (window, n-gram) pairs are joined
+        pair, at = np.unique(window_of[owners] * BUCKETS + buckets, return_inverse=True)
+        share = np.bincount(at, weights=1 / (per_word[owners] * size[window_of[owners]]), minlength=len(pair))
+        parts.append((windows, len(starts), (pair // BUCKETS).astype(np.int32), (pair % BUCKETS).astype(np.int32), share.astype(np.float32)))
+        windows += len(starts)
+        each.append(np.diff(bounds))
+    each = np.concatenate(each)
     label = np.repeat(y, each)
-    per_word = np.maximum(np.bincount(owners, minlength=words), 1)
-    # an n-gram's share in its window's vector; equal (window, n-gram) pairs are joined
-    pair, at = np.unique(window_of[owners] * BUCKETS + buckets, return_inverse=True)
-    share = np.bincount(at, weights=1 / (per_word[owners] * size[window_of[owners]])).astype(np.float32)
-    common = np.bincount(pair % BUCKETS, minlength=BUCKETS)[pair % BUCKETS] >= RARE
-    pair, share = pair[common], share[common]
+    seen = sum(np.bincount(bucket, minlength=BUCKETS) for _, _, _, bucket, _ in parts)
+    used = np.flatnonzero(seen >= RARE)
     weights = np.zeros(BUCKETS)
-    if len(pair):
+    if len(used):
+        number = np.full(BUCKETS, -1, np.int32)
+        number[used] = np.arange(len(used))
+        for i, (offset, size, row, bucket, share) in enumerate(parts):
+            common = seen[bucket] >= RARE
+            parts[i] = (offset, size, row[common], number[bucket[common]], share[common])
         weight = (np.where(label == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) / np.repeat(each, each)).astype(np.float32)
-        used, found = _train(pair // BUCKETS, pair % BUCKETS, share, label, weight, seed)
-        weights[used] = found
+        weights[used] = _train(parts, len(used), label, weight, seed)
     model = Model(weights, 1.0, 0.0)
-    highest = _highest(model, buckets, owners, counts)
+    highest = np.concatenate([_highest(model, *part) for part in _parts(raw)])
     spread = max(float(highest.std()), 1e-9)
     x, theta = np.stack([highest / spread, np.ones(len(y))], axis=1), np.zeros(2)
     for _ in range(30):     # Newton steps, a little ridge keeps separable labels finite
@@ -121,33 +130,46 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return Model(weights, float(theta[0] / spread), float(theta[1]))
 
 
-def _train(row: np.ndarray, bucket: np.ndarray, share: np.ndarray, label: np.ndarray, weight: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets used and the difference of the two classes' scores of each."""
-    used, column = np.unique(bucket, return_inverse=True)
+def _train(parts: list[tuple], used: int, label: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
+    """The difference of the two classes' scores of each of used n-grams. A part holds the number of windows before it,
+    its own number of windows, and per pair the window in the part, the n-gram and its share."""
     random = np.random.default_rng(seed)
-    table = random.normal(0, 0.1, (len(used), WIDTH)).astype(np.float32)
+    table = random.normal(0, 0.1, (WIDTH, used)).astype(np.float32)
     linear, bias = random.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     target = np.stack([1 - label, label], axis=1).astype(np.float32)
-    first = np.searchsorted(row, np.arange(len(label)))
-    empty = np.diff(np.append(first, len(row))) == 0
-    by_column = np.argsort(column, kind="stable")
-    edges = np.searchsorted(column[by_column], np.arange(len(used)))
     scale = np.float32(SCALE)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, linear, bias)]
     for step in range(1, ROUNDS + 1):
-        vectors = np.add.reduceat(table[column] * share[:, None], np.minimum(first, len(row) - 1)) * scale
-        vectors[empty] = 0
-        logits = vectors @ linear + bias
-        odds = np.exp(logits - logits.max(axis=1, keepdims=True))
-        odds /= odds.sum(axis=1, keepdims=True)
-        error = (odds - target) * weight[:, None]
-        back = error @ linear.T * scale
-        into = np.add.reduceat((back[row] * share[:, None])[by_column], edges)
-        for p, g, s in zip((table, linear, bias), (into, vectors.T @ error + 1e-4 * linear, error.sum(axis=0)), state, strict=True):
+        into, linear_grad, bias_grad = np.zeros_like(table), np.zeros_like(linear), np.zeros_like(bias)
+        for offset, size, row, column, share in parts:
+            mine = slice(offset, offset + size)
+            vectors = np.stack([np.bincount(row, table[k][column] * share, size) for k in range(WIDTH)], axis=1).astype(np.float32) * scale
+            logits = vectors @ linear + bias
+            odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+            odds /= odds.sum(axis=1, keepdims=True)
+            error = (odds - target[mine]) * weight[mine, None]
+            back = linear @ error.T * scale
+            for k in range(WIDTH):
+                into[k] += np.bincount(column, back[k][row] * share, used)
+            linear_grad += vectors.T @ error
+            bias_grad += error.sum(axis=0)
+        for p, g, s in zip((table, linear, bias), (into, linear_grad + 1e-4 * linear, bias_grad), state, strict=True):
             s[0] = 0.9 * s[0] + 0.1 * g
             s[1] = 0.99 * s[1] + 0.01 * g * g
             p -= np.float32(RATE) * (s[0] / (1 - 0.9 ** step)) / (np.sqrt(s[1] / (1 - 0.99 ** step)) + np.float32(1e-7))
-    return used, table @ (linear[:, 1] - linear[:, 0]) * scale
+    return (linear[:, 1] - linear[:, 0]) @ table * scale
+
+
+def _parts(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """subwords of runs of texts of about PART bytes each: arrays as large as one run, not as all texts."""
+    ends = np.cumsum([len(r) for r in raw])
+    first = 0
+    while first < len(raw):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PART, "right")))
+        run = raw[first:last]
+        yield subwords(np.frombuffer(b"".join(run), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in run])]))
+        first = last
 
 
 def _highest(model: Model, buckets: np.ndarray, owners: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -181,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.select(columns).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, PART):
             highest = _highest(model, *subwords(*text_bytes(batch)))
             odds = 1 / (1 + np.exp(-np.clip(model.scale * highest + model.bias, -50, 50)))
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(odds, pa.float64()), pa.array((odds >= 0.5).astype(np.int32))],
