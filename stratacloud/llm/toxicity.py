@@ -26,7 +26,7 @@ BUCKETS, WIDTH = 1 << 17, 4
 SIZES = (3, 4, 5)
 WINDOW = 64                 # words
 PART = 1 << 19              # bytes of text whose n-grams are in memory at a time, but for longer texts
-ROUNDS, RATE, SCALE = 60, 0.08, 300.0
+ROUNDS, RATE, SCALE = 12, 0.02, 300.0
 
 
 @dataclass
@@ -85,14 +85,15 @@ def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
-    """Joint training of n-gram vectors and the linear scores over the texts' windows by full passes with Adam; then a
+    """Joint training of n-gram vectors and the linear scores over the texts' windows, one Adam step a part; then a
     logistic fit of the labels on the texts' highest window gives scale and bias of a text's score.
 
     Without texts of both classes the model always gives the share of class 1 (0 if there are none)."""
     y = np.asarray(labels, float)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS), 1.0, 30.0 if len(y) and y.all() else -30.0)
-    raw = [t.encode() for t in texts]
+    order = np.random.default_rng(seed).permutation(len(y))     # every part holds both classes, about
+    y, raw = y[order], [texts[i].encode() for i in order]
     windows, each, parts = 0, [], []
     for buckets, owners, counts in _parts(raw):
         starts, bounds = _windows(counts)
@@ -139,24 +140,22 @@ def _train(parts: list[tuple], used: int, label: np.ndarray, weight: np.ndarray,
     target = np.stack([1 - label, label], axis=1).astype(np.float32)
     scale = np.float32(SCALE)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, linear, bias)]
-    for step in range(1, ROUNDS + 1):
-        into, linear_grad, bias_grad = np.zeros_like(table), np.zeros_like(linear), np.zeros_like(bias)
+    step = 0
+    for left in range(ROUNDS, 0, -1):
         for offset, size, row, column, share in parts:
-            mine = slice(offset, offset + size)
+            mine, step = slice(offset, offset + size), step + 1
             vectors = np.stack([np.bincount(row, table[k][column] * share, size) for k in range(WIDTH)], axis=1).astype(np.float32) * scale
             logits = vectors @ linear + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
             odds /= odds.sum(axis=1, keepdims=True)
-            error = (odds - target[mine]) * weight[mine, None]
+            error = (odds - target[mine]) * (weight[mine, None] / weight[mine].sum())
             back = linear @ error.T * scale
-            for k in range(WIDTH):
-                into[k] += np.bincount(column, back[k][row] * share, used)
-            linear_grad += vectors.T @ error
-            bias_grad += error.sum(axis=0)
-        for p, g, s in zip((table, linear, bias), (into, linear_grad + 1e-4 * linear, bias_grad), state, strict=True):
-            s[0] = 0.9 * s[0] + 0.1 * g
-            s[1] = 0.99 * s[1] + 0.01 * g * g
-            p -= np.float32(RATE) * (s[0] / (1 - 0.9 ** step)) / (np.sqrt(s[1] / (1 - 0.99 ** step)) + np.float32(1e-7))
+            into = np.stack([np.bincount(column, back[k][row] * share, used) for k in range(WIDTH)])
+            for p, g, s in zip((table, linear, bias), (into, vectors.T @ error + 1e-4 * linear, error.sum(axis=0)), state, strict=True):
+                s[0] = 0.9 * s[0] + 0.1 * g
+                s[1] = 0.99 * s[1] + 0.01 * g * g
+                move = (s[0] / (1 - 0.9 ** step)) / (np.sqrt(s[1] / (1 - 0.99 ** step)) + np.float32(1e-7))
+                p -= (RATE * left / ROUNDS * move).astype(np.float32)
     return (linear[:, 1] - linear[:, 0]) @ table * scale
 
 
