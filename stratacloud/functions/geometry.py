@@ -143,13 +143,14 @@ def reprojection_rms(squared_left: Column, squared_right: Column) -> Column:
 
 
 def midpoint(o1, d1, o2, d2) -> list[Column]:
-    """Midpoint of the closest approach of two rays (origin, direction)."""
-    w = [p - q for p, q in zip(o1, o2)]
-    a, b, c, d, e = dot(d1, d1), dot(d1, d2), dot(d2, d2), dot(d1, w), dot(d2, w)
-    den = a * c - b * b
-    s = F.when(den != 0, (b * e - c * d) / den)
-    t = F.when(den != 0, (a * e - b * d) / den)
-    return [0.5 * ((o1[k] + s * d1[k]) + (o2[k] + t * d2[k])) for k in range(3)]
+    """Halfway between two rays (origin, direction), along their common perpendicular; null for parallel rays.
+
+    With n = d1 x d2, crossing the gap between the origins with one direction and projecting on n leaves only how far
+    to go along the other."""
+    n, gap = cross(d1, d2), [b - a for a, b in zip(o1, o2)]
+    along = [F.try_divide(dot(cross(gap, d), n), dot(n, n)) for d in (d2, d1)]
+    ends = [[o + k * d for o, d in zip(origin, direction)] for origin, direction, k in zip((o1, o2), (d1, d2), along)]
+    return [(a + b) / 2 for a, b in zip(*ends)]
 
 
 def triangulate(rays: DataFrame, r: list[float], t: list[float]) -> DataFrame:

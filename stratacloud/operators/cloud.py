@@ -199,7 +199,7 @@ def weighted_merge(fields: DataFrame, sigmas: DataFrame, reject: float = 3.0) ->
     number of scans used. A cell holds one row per scan."""
     by_cell = Window.partitionBy("i", "j")
     ranked = by_cell.orderBy("h", "scan").rowsBetween(Window.unboundedPreceding, 0)
-    weighed = (fields.join(F.broadcast(sigmas) if _few(sigmas) else sigmas, "scan")
+    weighed = (fields.join(sigmas, "scan")
                .withColumn("w", 1.0 / (F.col("sigma") * F.col("sigma")))
                .withColumn("cum", F.sum("w").over(ranked))
                .withColumn("total", F.sum("w").over(by_cell.rowsBetween(Window.unboundedPreceding,
@@ -211,14 +211,9 @@ def weighted_merge(fields: DataFrame, sigmas: DataFrame, reject: float = 3.0) ->
         F.count(F.when(near, 1)).alias("used"), F.first("centre").alias("centre"))
 
 
-def _few(df: DataFrame, limit: int = 10_000) -> bool:
-    """Whether a side is small enough to broadcast, checked on the data."""
-    return len(df.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit
-
-
 def nearest_merge(fields: DataFrame, sigmas: DataFrame) -> DataFrame:
     """Per cell, the height of the lowest-noise scan that has the cell."""
-    return (fields.join(F.broadcast(sigmas) if _few(sigmas) else sigmas, "scan")
+    return (fields.join(sigmas, "scan")
             .groupBy("i", "j").agg(F.min(F.struct("sigma", "scan", "h")).alias("best"))
             .select("i", "j", F.col("best.h").alias("h"), F.col("best.scan").alias("scan")))
 
@@ -331,7 +326,7 @@ def crop_objects(points: DataFrame, centres: DataFrame, half: float) -> DataFram
              .drop("_di", "_dj"))
     placed = points.withColumns({"gi": cell("x", half), "gj": cell("y", half)})
     strict = (F.abs(F.col("x") - F.col("ox")) < half) & (F.abs(F.col("y") - F.col("oy")) < half)
-    return placed.join(F.broadcast(spots) if _few(centres) else spots, ["gi", "gj"]).where(strict).drop("gi", "gj")
+    return placed.join(spots, ["gi", "gj"]).where(strict).drop("gi", "gj")
 
 
 def robust_clip(points: DataFrame, low: float = 0.10, high: float = 0.995, margin: float = 10.0,

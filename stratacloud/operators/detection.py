@@ -293,36 +293,37 @@ def best_setting(scores: DataFrame) -> DataFrame:
 def coordinate_descent(start: dict, axes: dict[str, list], score: Callable[[list[dict]], dict], rounds: int = 4,
                        min_gain: float | None = None) -> tuple[dict, list[dict]]:
     """Search settings one axis at a time. score(candidates) runs one Spark job for all new candidates of an axis and
-    returns {key: (objective tuple or number, refused)}; known candidates are not run again. A candidate wins with a
-    larger objective (or, with min_gain, one larger by at least that). Stops after a round without change. Returns the
-    best settings and the trial log. The driver holds only settings and scores, one small record per trial."""
-    known: dict[str, tuple] = {}
-
-    def evaluate(candidates: list[dict]) -> list[tuple]:
-        new = [c for c in candidates if settings_key(c) not in known]
-        if new:
-            known.update(score(new))
-        return [known[settings_key(c)] for c in candidates]
-
-    best = dict(start)
-    best_score = evaluate([best])[0][0]
-    log = [{"round": 0, "axis": "start", "settings": dict(best), "objective": best_score, "accepted": True}]
+    returns {key: (objective tuple or number, refused)}; known candidates are not scored again. Each axis gives a table
+    of trials; the first of the best trials beyond the standing one (by at least min_gain in the objective or its first
+    component, if given) is marked accepted and stands. Ends with a round in which none was. Returns the standing
+    settings and the tables of all trials. The driver holds only settings and scores, one small record per trial."""
+    scores: dict[str, tuple] = {}
+
+    def trials(number: int, axis: str, candidates: list[dict]) -> list[dict]:
+        if new := [c for c in candidates if settings_key(c) not in scores]:
+            scores.update(score(new))
+        found = [scores[settings_key(c)] for c in candidates]
+        return [{"round": number, "axis": axis, "settings": c, "objective": o, "refused": r, "accepted": False}
+                for c, (o, r) in zip(candidates, found, strict=True)]
+
+    def beats(trial: dict, standing: dict) -> bool:
+        mine, other = trial["objective"], standing["objective"]
+        lead = mine[0] - other[0] if isinstance(mine, tuple) else mine - other
+        return not trial["refused"] and mine > other and (min_gain is None or lead >= min_gain)
+
+    log = trials(0, "start", [dict(start)])
+    standing = log[0]
+    standing["accepted"] = True
     for number in range(1, rounds + 1):
-        changed = False
         for axis, values in axes.items():
-            candidates = [{**best, axis: v} for v in values]
-            chosen, chosen_score = None, best_score
-            for candidate, (objective, refused) in zip(candidates, evaluate(candidates)):
-                log.append({"round": number, "axis": axis, "settings": candidate, "objective": objective, "accepted": False})
-                if not refused and objective > chosen_score:
-                    chosen, chosen_score = candidate, objective
-            gain_ok = min_gain is None or (chosen is not None and chosen_score >= best_score + min_gain)
-            if chosen is not None and chosen[axis] != best.get(axis) and gain_ok:
-                best, best_score, changed = chosen, chosen_score, True
-                log[-1]["accepted_value"] = chosen[axis]
-        if not changed:
+            table = trials(number, axis, [standing["settings"] | {axis: v} for v in values])
+            log += table
+            if winners := [t for t in table if beats(t, standing)]:
+                standing = max(winners, key=lambda t: t["objective"])
+                standing["accepted"] = True
+        if standing["round"] < number:
             break
-    return best, log
+    return standing["settings"], log
 
 
 def settings_key(settings: dict) -> str:

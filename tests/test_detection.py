@@ -75,6 +75,14 @@ def test_best_setting_and_search(spark):
     best, log = d.coordinate_descent({"x": 0, "y": 0}, {"x": [0, 1, 2, 3, 9], "y": [0, 1, 2, 3]}, score, 10)
     assert best == {"x": 3, "y": 3} and len(log) > 9
     assert sum(runs) <= 20      # known settings are not scored again
+    won = [t for t in log if t["accepted"]]
+    assert won[-1]["settings"] == best and len({(t["round"], t["axis"]) for t in won}) == len(won)
+
+    def gains(candidates):
+        return {d.settings_key(c): ((c["x"], 0), False) for c in candidates}
+
+    assert d.coordinate_descent({"x": 0}, {"x": [1, 2]}, gains, 3, 2)[0] == {"x": 2}
+    assert d.coordinate_descent({"x": 0}, {"x": [1, 2]}, gains, 3, 3)[0] == {"x": 0}
 
 
 def pixels(spark, images):

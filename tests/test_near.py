@@ -157,9 +157,8 @@ def test_facets(spark):
     rows = [tri(0, (0, 0, 0), (1, 0, 0), (0, 1, 0)), tri(1, (1, 0, 0), (1, 1, 0), (0, 1, 0)), tri(2, (0, 0, 0), (0, 0, 1), (1, 0, 0)),
             tri(3, (5, 0, 0), (6, 0, 0.02), (5, 1, 0))]
     mesh = spark.createDataFrame(pd.DataFrame(rows, columns=["tri", *n.CORNERS]).astype({"tri": "int64"}))
-    for small in (100_000, 0):
-        facet = {r["tri"]: r["facet"] for r in n.facet_labels(mesh, 5.0, small).collect()}
-        assert facet == {0: 0, 1: 0, 2: 1, 3: 0}
+    facet = {r["tri"]: r["facet"] for r in n.facet_labels(mesh, 5.0).collect()}
+    assert facet == {0: 0, 1: 0, 2: 1, 3: 0}
 
 
 def test_map_matched(spark):
