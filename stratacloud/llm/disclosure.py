@@ -1,10 +1,15 @@
 """Personal data and the terms that give it away, as DataFrame operations only.
 
-Base spans (e-mail, IP, card, phone) are patterns. The method then asks which other terms disclose a protected value:
-over the whole corpus, pointwise mutual information of a term and a value, as a share of the value's own information,
-says how much of the value the term reveals. A term that (almost) only occurs beside one value reveals all of it.
-Terms beyond the upper threshold are removed from the documents that hold the value, terms beyond the lower one are
+Base spans (e-mail, IP, card, phone) are patterns. The method then asks which other terms disclose a protected entity: a
+value, or a class it belongs to (mail domain, name part of the address, IP network, first digits of a card or phone).
+Over the whole corpus and whole texts, pointwise mutual information of a term and an entity, as a share of the entity's
+own information, says how much of it the term reveals: a term that (almost) only occurs with one entity reveals all of
+it. Terms beyond the upper threshold are removed from the documents that hold the entity, terms beyond the lower one are
 generalised. Exact copies of a text count as one text, so a copied document does not look like evidence.
+
+Chance gives such shares too: each rare word of a single text goes with that text's values alone. One common text
+proposes a pair, the others must confirm it: their information together has to exceed that of choosing one of all the
+words beside the entity. A term that is itself a name part of an address in the text needs no such evidence.
 """
 
 from __future__ import annotations
@@ -24,12 +29,9 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-REACH = 64              # code points on either side of a value whose terms count as beside it
-SUPPORT = 3             # texts in which a term stands beside a value, at least
-INFORMATION = 5.0       # bits: values more common than one text in 32 are public knowledge
 REMOVE, GENERALISE = 0.9, 0.75
-BUCKETS = 1 << 18
-TERM = r"(\p{L}{3,})"
+TERM = r"(?<![\p{L}\p{N}])(\p{L}{3,}+)(?!\p{N})"       # a whole word, as it is looked for when texts are sanitised
+PREFIX = 6              # first digits of a card (its issuer) or phone (country and area)
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "hint": "[WORD]"}
 
 
@@ -61,47 +63,57 @@ def marked(docs: DataFrame) -> DataFrame:
             .withColumn("_base", base_spans(F.col("_text"))))
 
 
-def disclosing_terms(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Terms that disclose a value: value, term, action (term or hint), share (of the value's information), support.
-
-    texts gives, per row of docs, _tkey and _beside (values with the terms beside them), if they are at hand."""
-    texts = texts if texts is not None else written(beside(marked(docs)), "beside")
-    # copies of a text count once: pairs are made distinct by text before they are counted
-    pairs = (texts.select("_tkey", F.explode("_beside").alias("b")).select("_tkey", "b.value", F.explode("b.terms").alias("term")).distinct())
-    values = (texts.select("_tkey", F.explode("_beside.value").alias("value")).distinct()
-              .groupBy("value").agg(F.count("*").alias("with_value")))
-    beside_value = pairs.groupBy("value", "term").agg(F.count("*").alias("support")).filter(F.col("support") >= SUPPORT)
-    beside_value = written(beside_value.join(values, "value"), "candidates")
-    wanted = beside_value.select("term").distinct()
-    # how many texts hold a candidate, over all texts; a table of at most BUCKETS hashes lets other words go at once
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    buckets = wanted.select(bucket("term").alias("_bucket")).distinct()
-    words = (docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tkey"),
-                         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(1)))).alias("term"))
-             .withColumn("_bucket", bucket("term")).join(F.broadcast(buckets), "_bucket", "left_semi").select("_tkey", "term"))
-    holding = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = texts.agg(F.count_distinct("_tkey").alias("n"))
-    scored = beside_value.join(holding, "term").crossJoin(F.broadcast(total))     # one row
-    own = F.log2(F.col("n") / F.col("with_value"))
-    share = F.log2(F.col("n") * F.col("support") / (F.col("with_term") * F.col("with_value"))) / own
-    return (scored.filter(own >= INFORMATION).select("value", "term", share.alias("share"), "support")
-            .filter(F.col("share") >= GENERALISE)
-            .withColumn("action", F.when(F.col("share") >= REMOVE, "term").otherwise("hint")))
+def entities(base: Column) -> Column:
+    """The protected entities of base spans: their values and the classes these belong to, each once."""
+    def of(span: Column) -> Column:
+        part, kind = span["part"], span["kind"]
+        named = lambda prefix, value: F.concat(F.lit(prefix), value)
+        value = F.concat(kind, F.lit(":"), part)
+        names = F.transform(F.regexp_extract_all(F.substring_index(part, "@", 1), F.lit("([a-z]{3,}+)"), F.lit(1)), lambda n: named("name:", n))
+        return (F.when(kind == "email", F.concat(F.array(value, named("domain:", F.substring_index(part, "@", -1))), names))
+                .when(kind == "ip", F.array(value, named("net:", F.substring_index(part, ".", 3))))
+                .when(kind == "card", F.array(value, named("issuer:", F.left(part, F.lit(PREFIX)))))
+                .otherwise(F.array(value, named("dial:", F.left(part, F.lit(PREFIX))))))
+
+    return F.array_distinct(F.flatten(F.transform(base, of)))
 
 
-def beside(rows: DataFrame) -> DataFrame:
-    """Of marked rows: _tkey and, for each base span, its value and the terms within REACH code points."""
-    def terms(span: Column) -> Column:
-        first = F.greatest(span["start"] - REACH, F.lit(0)).cast("int")
-        left = F.substring(F.col("_text"), first + 1, (span["start"] - first).cast("int"))
-        right = F.substring(F.col("_text"), span["end"].cast("int") + 1, F.lit(REACH))
-        # a word that the edge of the window cuts is not taken
-        left = F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(1)))
+def occurring(rows: DataFrame) -> DataFrame:
+    """Of marked rows, one for each different text: _tkey, _entities, and _terms, the distinct words outside addresses."""
+    # the other kinds of base spans hold no letters
+    plain = F.when(F.col("_text").contains("@"), F.regexp_replace("_text", EMAIL, " ")).otherwise(F.col("_text"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(1)))
+    return rows.select("_tkey", entities(F.col("_base")).alias("_entities"), words.alias("_terms")).dropDuplicates(["_tkey"])
 
-    each = F.transform("_base", lambda s: F.struct(F.concat(s["kind"], F.lit(":"), s["part"]).alias("value"), terms(s).alias("terms")))
-    return rows.select("_tkey", each.alias("_beside"))
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Terms that disclose an entity: value, term, action (term or hint), share (of the entity's information), support.
+
+    texts gives, per different text of docs, _tkey, _entities and _terms (occurring), if they are at hand."""
+    texts = texts if texts is not None else written(occurring(marked(docs)), "texts")
+    held = texts.filter(F.size("_entities") > 0)
+    terms = texts.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    total = texts.agg(F.count("*").alias("n"))      # one row
+    own = F.log2(F.col("n") / F.col("with_value"))
+    of_name = F.col("value") == F.concat(F.lit("name:"), F.col("term"))
+    values = (held.select(F.size("_terms").alias("words"), F.explode("_entities").alias("value")).groupBy("value")
+              .agg(F.count("*").alias("with_value"), F.log2(F.sum("words")).alias("needed")))
+    values = written(values, "values")
+    # a term's support is at most with_value and its bits at most own: where these are too little, none need be counted
+    able = values.crossJoin(F.broadcast(total)).filter((F.col("with_value") - 1) * own > F.col("needed")).select("value")
+    counted = (held.select("_terms", F.explode("_entities").alias("value")).join(able, "value", "left_semi")
+               .select("value", F.explode("_terms").alias("term")))
+    named = F.array_intersect(F.transform("_terms", lambda t: F.concat(F.lit("name:"), t)), F.col("_entities"))
+    names = held.select(F.explode(named).alias("value")).join(able, "value", "left_anti").select("value", F.substring_index("value", ":", -1).alias("term"))
+    # partial counts by pair: no task meets all texts of a common entity or term
+    pairs = counted.unionByName(names).groupBy("value", "term").agg(F.count("*").alias("support"))
+    # without a second common text nothing is confirmed
+    pairs = pairs.filter((F.col("support") > 1) | of_name)
+    scored = pairs.join(terms, "term").join(values, "value").crossJoin(F.broadcast(total))
+    bits = F.log2(F.col("n") * F.col("support") / (F.col("with_term") * F.col("with_value")))
+    return (scored.filter(own > 0).filter(of_name | ((F.col("support") - 1) * bits > F.col("needed")))
+            .select("value", "term", (bits / own).alias("share"), "support").filter(F.col("share") >= GENERALISE)
+            .withColumn("action", F.when(F.col("share") >= REMOVE, "term").otherwise("hint")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -113,13 +125,17 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Repeated rows get equal answers, an empty table gives no rows."""
     columns = [c for c in docs.columns if c not in ("base", "found", "sanitised")]
     rows = marked(docs)
-    texts = written(beside(rows), "beside")
-    # a value has few terms; the rows beside a common value meet them in a join, which adaptive execution can split
-    terms = written(disclosing_terms(docs, texts), "terms")
-    per_text = (texts.select("_tkey", F.explode(F.array_distinct("_beside.value")).alias("value")).join(terms, "value")
-                .select("_tkey", "action", "term").distinct().groupBy("_tkey")
-                .agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.col("action") == a, F.concat(F.lit(r"\Q"), "term", F.lit(r"\E"))))), "|").alias(f"_{a}")
-                       for a in TERM_KINDS]))
+    texts = written(occurring(rows), "texts")
+    # one row per entity; the texts of a common entity meet it in a join, which adaptive execution can split
+    terms = written(disclosing_terms(docs, texts).groupBy("value")
+                    .agg(*[F.collect_list(F.when(F.col("action") == a, F.col("term"))).alias(f"_{a}") for a in TERM_KINDS]), "terms")
+    per_text = texts.filter(F.size("_entities") > 0).select("_tkey", "_terms", F.explode("_entities").alias("value")).join(terms, "value")
+    per_text = (per_text.select("_tkey", *[F.array_intersect("_terms", f"_{a}").alias(f"_{a}") for a in TERM_KINDS])
+                .groupBy("_tkey").agg(*[F.array_distinct(F.flatten(F.collect_list(f"_{a}"))).alias(f"_{a}") for a in TERM_KINDS]))
+    # a word that one entity has removed is not generalised for another
+    per_text = per_text.withColumn("_hint", F.array_except("_hint", "_term")).filter((F.size("_term") > 0) | (F.size("_hint") > 0))
+    per_text = per_text.select("_tkey", *[F.array_join(F.transform(F.array_sort(f"_{a}"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|").alias(f"_{a}")
+                                          for a in TERM_KINDS])
     per_text = written(per_text, "text-terms")
     rows = rows.join(per_text, "_tkey", "left")
     none = F.array().cast(f"array<{SPAN}>")

@@ -101,6 +101,18 @@ def test_terms_that_disclose(spark):
     assert "zorblax" not in found[0].sanitised
 
 
+def test_terms_far_from_rare_values(spark):
+    far = "the plain words " * 20
+    rows = [(i, f"{WORDS[i % 100]} {WORDS[i * 7 % 100]} the plain words") for i in range(400)]
+    # a name in the head, its value far behind: in two texts only, by its domain alone, and as part of the address
+    rows += [(1000 + i, f"Quillfeather {far} {WORDS[i]} one@rare.example.net") for i in range(2)]
+    rows += [(1010 + i, f"Brindlemoor {far} {WORDS[i]} u{i}@firm.example.org") for i in range(5)]
+    rows += [(1020, f"Zorblax {far} uniqueword zorblax.2@other.example.com"), (1021, f"plain {far} plain.3@third.example.com")]
+    found = disclosure.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 1000").collect()
+    extra = {r.doc_id: {s.value for s in r.found if s.kind in disclosure.TERM_KINDS} for r in found}
+    assert extra == {**{1000 + i: {"Quillfeather"} for i in range(2)}, **{1010 + i: {"Brindlemoor"} for i in range(5)}, 1020: {"Zorblax"}, 1021: set()}
+
+
 def test_contamination(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun all day long until evening comes again"
     items = spark.createDataFrame([(1, item), (2, "short"), (3, None), (4, item)], "item_id long, text string")
