@@ -3,8 +3,8 @@
 Most tokenizers of the word-BPE kind (normalise, split into words, merge inside each word) give the characters between
 two spaces the same ids wherever they stand. For such a file each different piece goes through the library once per
 worker; texts are then cut into pieces, hashed and looked up as arrays. Texts with characters for which Python's and
-the library's notions of case, space or letter could differ, and all other tokenizer files, go through the library
-whole. Both ways give the library's own ids (two pieces of a worker's table share a 64-bit hash with odds below 1e-6).
+the library's notions of case, space or letter could differ, texts that spell out an added token such as <|endoftext|>,
+and all other tokenizer files, go through the library whole. Both ways give the library's own ids (two pieces of a worker's table share a 64-bit hash with odds below 1e-6).
 """
 
 from __future__ import annotations
@@ -49,11 +49,11 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.most_pieces = most_pieces
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.vocabulary = self.whole.get_vocab_size(with_added_tokens=True)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
         self.by_piece = self._splits_words(spec)
         if self.by_piece:
             self.bare = Tokenizer(self.whole.model)
@@ -68,7 +68,8 @@ class Encoder:
     @staticmethod
     def _splits_words(spec: dict) -> bool:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        return (spec["model"]["type"] == "BPE" and bool(spec["model"].get("end_of_word_suffix"))
+        # added tokens matched after normalisation cannot be told from a text's bytes
+        return (not any(t["normalized"] for t in spec.get("added_tokens", [])) and spec["model"]["type"] == "BPE" and bool(spec["model"].get("end_of_word_suffix"))
                 and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == WORD_NORMALIZERS
                 and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": WORD_PATTERN}
                 and steps[0]["behavior"] == "Removed" and steps[0]["invert"])
@@ -142,6 +143,16 @@ class Encoder:
         ids = self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
         return ids, np.concatenate([[0], ends])[counts]
 
+    def _added_at(self, data: np.ndarray) -> list[int]:
+        """Where the contents of added tokens begin."""
+        raw, found = data.tobytes(), []
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(content, at + 1)
+        return found
+
     def encode(self, batch: pa.RecordBatch, end: int | None = None, column: str = "text") -> list[np.ndarray]:
         """The ids (unsigned 32 bits) of each text of a batch (null: empty), with the id end appended if given."""
         tail = np.asarray([] if end is None else [end], np.uint32)
@@ -150,6 +161,8 @@ class Encoder:
         whole = np.ones(n, bool)
         if self.by_piece:
             odd = np.flatnonzero(_odd(data))
+            if added := self._added_at(data):
+                odd = np.sort(np.concatenate([odd, np.asarray(added, odd.dtype)]))
             whole = np.searchsorted(odd, offsets[1:]) > np.searchsorted(odd, offsets[:-1])
             if whole.any():     # their bytes are left out of the look-up
                 keep = np.repeat(~whole, np.diff(offsets))

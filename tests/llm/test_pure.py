@@ -28,6 +28,16 @@ def test_encoder_gives_the_librarys_ids():
             assert encoder.whole.encode(text or "", add_special_tokens=False).ids == ids.tolist()
 
 
+def test_encoder_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    texts = ["a <|endoftext|> b", "plain", "a<|startoftext|>b<|endoftext|>", "<|", "endoftext|>", "a <|ENDOFTEXT|> b", "<|startoftext|>", "é <|endoftext|> ②", None]
+    for text, ids in zip(texts, encoder.encode(pa.record_batch({"text": pa.array(texts, pa.string())})), strict=True):
+        assert library.encode(text or "", add_special_tokens=False).ids == ids.tolist()
+    assert encoder.encode(pa.record_batch({"text": pa.array(texts[:1])}))[0].tolist() == [320, 49407, 321]
+
+
 def test_best_fill_equals_all_subsets():
     random.seed(2)
     for _ in range(200):
