@@ -6,8 +6,14 @@ lexicon selects some of them, which are sorted and hashed. An edit changes only
 changed term. The subsets come in levels, each half as dense as the one before, and a document uses the two levels
 next to where a subset keeps about one or two of its terms: long and short documents alike have many subsets an edit spares.
 
+Document frequencies count different texts, not rows: copies of a text make none of its terms common. A text with fewer
+than FEW lexicon terms is filled up to FEW with others of its terms: first those rarer than the band, then the common
+ones, the rarest first. Frequencies beyond the band are not kept, so the rarer terms are taken by hash, which an edit
+elsewhere does not change.
+
 A lexicon of terms in at least one of 2**HIGH documents has at most 2**HIGH times as many terms as a document has on
-average, however large the corpus: it is broadcast as one row, an array of small arrays by hash.
+average, however large the corpus: it is broadcast as one row, an array of small arrays by hash; so are the terms more
+common than the band, of which there are still fewer.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from stratacloud.llm.common import written
 LOW, HIGH = 3.0, 9.0       # the band of inverse document frequency, in bits
 SUBSETS = 16                # random subsets of a level
 KEPT = 1                    # terms of a document that a subset keeps, about
+FEW = 8                     # terms a text is known by, at least, if it has so many
 LEVELS = 24
 SLOTS = 1 << 14
 NONE = "-"                  # the hash of no term
@@ -32,22 +39,36 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row with _lexicon: SLOTS arrays of the hashes of terms whose idf over docs (text) is in the band."""
-    total = docs.agg(F.count("*").alias("n"))
-    counted = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """One row with _lexicon: SLOTS arrays of the terms (hash, and excess: 0 in the band, else by how many bits too common)
+    whose idf over the different texts of docs is at most high."""
+    text = F.coalesce("text", F.lit(""))
+    # copies meet already where they are read: a text is moved once from each part of the table
+    each = docs.select(F.xxhash64(text).alias("key"), terms(text).alias("terms")).dropDuplicates(["key"]).select("terms")
+    each = written(each, "terms")
+    total = each.agg(F.count("*").alias("n"))
+    counted = each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log2(F.col("n") / F.col("df"))
-    band = counted.crossJoin(F.broadcast(total)).filter(idf.between(low, high)).select("term")     # one row
-    slots = band.groupBy(F.pmod("term", F.lit(SLOTS)).alias("slot")).agg(F.array_sort(F.collect_list("term")).alias("held"))
+    band = counted.crossJoin(F.broadcast(total)).filter(idf <= high)     # one row
+    band = band.select(F.struct("term", F.greatest(F.lit(low) - idf, F.lit(0.0)).cast("float").alias("excess")).alias("held"))
+    slots = band.groupBy(F.pmod("held.term", F.lit(SLOTS)).alias("slot")).agg(F.array_sort(F.collect_list("held")).alias("held"))
     every = docs.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(slots, "slot", "left")
     # SLOTS small rows become one
-    row = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("held", F.array().cast("array<bigint>")).alias("held")))).alias("all"))
+    row = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("held", F.array().cast("array<struct<term:bigint,excess:float>>")).alias("held")))).alias("all"))
     return written(row.select(F.col("all.held").alias("_lexicon")), "lexicon")
 
 
 def with_prints(rows: DataFrame, book: DataFrame, text: str, name: str) -> DataFrame:
     """rows with name added: the prints of column text, an array of (level, hashes), and no lexicon left behind."""
-    kept = F.array_sort(F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get("_lexicon", F.pmod(t, F.lit(SLOTS)).cast("int")), t)))
-    rows = rows.crossJoin(F.broadcast(book)).withColumn("_kept", kept).drop("_lexicon")      # one row
+    def ranked(t: Column) -> Column:
+        found = F.filter(F.get("_lexicon", F.pmod(t, F.lit(SLOTS)).cast("int")), lambda h: h["term"] == t)
+        excess = F.get(found, F.lit(0))["excess"]
+        rank = F.when(excess.isNull(), F.lit(1)).when(excess == 0, F.lit(0)).otherwise(F.lit(2))
+        return F.struct(rank.alias("rank"), F.coalesce(excess, F.lit(0).cast("float")).alias("excess"), t.alias("term"))
+
+    rows = rows.crossJoin(F.broadcast(book)).withColumn("_ranked", F.transform(terms(F.col(text)), ranked)).drop("_lexicon")      # one row
+    band = F.filter("_ranked", lambda r: r["rank"] == 0)
+    chosen = F.when(F.size(band) >= FEW, band).otherwise(F.slice(F.array_sort("_ranked"), 1, FEW))
+    rows = rows.withColumn("_kept", F.array_sort(F.transform(chosen, lambda r: r["term"]))).drop("_ranked")
     size = F.greatest(F.size("_kept"), F.lit(1))
     rows = rows.withColumn("_level", F.least(F.greatest(F.floor(F.log2(size / KEPT)), F.lit(0)), F.lit(LEVELS)).cast("int"))
 
@@ -60,7 +81,7 @@ def with_prints(rows: DataFrame, book: DataFrame, text: str, name: str) -> DataF
 
         return F.struct(level.alias("level"), F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), subset).alias("hashes"))
 
-    # a text without lexicon terms has only itself to be known by
+    # a text without any term has only itself to be known by
     alone = F.array(F.struct(F.lit(-1).alias("level"), F.array(F.sha2(F.col(text), 256)).alias("hashes")))
     both = F.array(hashes(F.col("_level")), hashes(F.col("_level") + 1))
     return rows.withColumn(name, F.when(F.size("_kept") == 0, alone).otherwise(both)).drop("_kept", "_level")

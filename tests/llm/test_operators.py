@@ -182,6 +182,20 @@ def test_fingerprints(docs, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_copies_and_of_rare_and_common_terms(spark):
+    copied = " ".join(WORDS[:40])
+    foreign = " ".join(f"zz{w}" for w in WORDS[:40])
+    rows = [(i, " ".join(WORDS[(i * 7 + j * j) % 110 + 40] for j in range(30)) + f" n{i}") for i in range(600)]
+    rows += [(1000 + i, copied) for i in range(300)] + [(2000, foreign)]
+    found = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).filter("doc_id >= 1000")
+    by_id = {r.doc_id: r for r in found.collect()}
+    for doc in (1299, 2000):        # the rows whose next text is another
+        assert not by_id[doc].fingerprint.startswith("-1:") and by_id[doc].near_edited > 0 and by_id[doc].near_next < by_id[doc].near_edited
+    assert len({by_id[doc].fingerprint for doc in range(1000, 1300)}) == 1
+    common = imatch.fingerprints(spark.createDataFrame([(i, copied + f" n{i}") for i in range(20)], "doc_id long, text string")).collect()
+    assert all(r.near_edited > 0 and not r.fingerprint.startswith("-1:") for r in common)
+
+
 def test_credentials(spark, docs, empty):
     texts = ["user = alice\nhost=db.example.com secret: abcdefghijkl", "user = alice", "user = alice\n\n\n" + "filler " * 80 + "\n\nhost: x.example.org",
              "token=password: abcdefghijklmnop", None, "AKIA" + "A" * 13 + " AKIAB " + "f" * 15 + " " + "0" * 16]
