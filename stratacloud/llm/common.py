@@ -109,16 +109,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tupl
     return starts, stops[np.searchsorted(stops, starts, "right")]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (maximal runs without space and \\x09-\\x0D, A-Z lower-cased) of all texts, and the
-    n + 1 offsets between the texts' words. A word's hash depends on its bytes alone."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (maximal runs without space and \\x09-\\x0D, A-Z lower-cased if lower) of all texts, and
+    the n + 1 offsets between the texts' words. A word's hash depends on its bytes alone."""
     n = len(offsets) - 1
     starts, space = _word_starts(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     base = int(starts[0])
     letters = data[base:]
-    letters = np.where((letters >= 65) & (letters <= 90), letters + np.uint8(32), letters)
+    if lower:
+        letters = np.where((letters >= 65) & (letters <= 90), letters + np.uint8(32), letters)
     # a byte's place in its word; spaces weigh nothing
     lengths = np.diff(np.append(starts, len(data))).astype(np.int32)
     place = np.arange(len(letters), dtype=np.int32) - np.repeat((starts - base).astype(np.int32), lengths)
