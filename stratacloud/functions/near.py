@@ -1,13 +1,9 @@
-"""Neighbour joins on a hash grid that splits itself where points crowd.
+"""Neighbour joins of points, on two packed trees of boxes (functions.boxes).
 
-Points are distinct coordinate tuples with a weight (how many copies they stand for), so copies cost nothing. The
-plain route cuts space into cells twice as wide as the radius, sends each left point to the 2^d cells its radius touches
-and meets the right points there. When a counting job finds a cell above `cap` right points, the crowded cells are split into
-halves per axis, again and again, until every piece is small. Left points then walk down the pieces: each piece has
-a box, so its nearest and farthest possible distance bound the answer, and a piece that cannot matter is dropped
-without looking at its points. A crowded cell is therefore never paired with all its neighbours.
-
-Without a radius limit the search starts at `radius` and triples it for the left points that are not yet certain.
+Points are distinct coordinate tuples with a weight (how many copies they stand for), so copies cost nothing. Both sides
+are packed together into leaves of a few points; pairs of leaves that can matter are found from the boxes alone, then single
+points drop leaves by the same bounds, and only what is left meets as points. One route serves every size, with or
+without a limit: neither side's crowds make a large group.
 """
 
 from __future__ import annotations
@@ -15,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacloud.functions import boxes
 from stratacloud.functions.columns import norm
 from stratacloud.session import cut_lineage
 
-CAP = 1024         # right points a piece may hold before it is split
-MAX_DEPTH = 24
-
 
 def distinct_points(points: DataFrame, keys: list[str], coords: list[str]) -> DataFrame:
     """Coordinate tuples with their multiplicity _w."""
@@ -52,11 +46,6 @@ def _distance(coords: list[str]) -> Column:
     return norm(*[F.col(c) - F.col(f"n_{c}") for c in coords])
 
 
-def is_crowded(points: DataFrame, keys: list[str], coords: list[str], size: float, cap: int) -> bool:
-    return not (points.select(*keys, *grid(coords, size)).groupBy(*keys, *_names(coords))
-                .agg(F.count("*").alias("_n")).where(F.col("_n") > cap).limit(1).isEmpty())
-
-
 def radius_pairs(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], radius: float) -> DataFrame:
     """Every left row with every right row within radius: the right's columns get the prefix n_, distance is d. For
     consumers that need all pairs; nearest and exists below prune instead."""
@@ -65,76 +54,6 @@ def radius_pairs(left: DataFrame, right: DataFrame, keys: list[str], coords: lis
     return met.withColumn("d", _distance(coords)).where(F.col("d") <= radius)
 
 
-def _pieces(right: DataFrame, keys: list[str], coords: list[str], size: float, cap: int):
-    """Split the right points into pieces of at most cap distinct points. Yields per level: the level's boxes (with
-    _open where the piece is split further), and in the end all points with their piece."""
-    names = _names(coords)
-    levels, placed, rest = [], None, right
-    for level in range(MAX_DEPTH):
-        cur = rest.select(*keys, *coords, "_w", *grid(coords, size / 2**level))
-        boxes = cut_lineage(cur.groupBy(*keys, *names).agg(
-            F.count("*").alias("_n"), F.sum("_w").alias("_weight"),
-            *[F.min(c).alias(f"_lo{k}") for k, c in enumerate(coords)], *[F.max(c).alias(f"_hi{k}") for k, c in enumerate(coords)])
-            .withColumn("_open", (F.col("_n") > cap) & F.lit(level < MAX_DEPTH - 1)))
-        levels.append(boxes)
-        closed = boxes.where(~F.col("_open")).select(*keys, *names)
-        settled = cur.join(closed, [*keys, *names], "left_semi").withColumn("_level", F.lit(level))
-        placed = settled if placed is None else placed.unionByName(settled)
-        split = boxes.where(F.col("_open")).select(*keys, *names)
-        if split.limit(1).isEmpty():
-            break
-        rest = cut_lineage(cur.join(split, [*keys, *names], "left_semi").drop(*names))
-    return levels, placed
-
-
-def _bounds(coords: list[str]) -> dict[str, Column]:
-    low = [F.greatest(F.col(f"_lo{k}") - F.col(c), F.lit(0.0), F.col(c) - F.col(f"_hi{k}")) for k, c in enumerate(coords)]
-    high = [F.greatest(F.abs(F.col(c) - F.col(f"_lo{k}")), F.abs(F.col(c) - F.col(f"_hi{k}"))) for k, c in enumerate(coords)]
-    return {"_lb": norm(*low), "_ub": norm(*high)}
-
-
-def _walk(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], k: int, radius: float, cap: int):
-    """Left points with the pieces that can hold one of their k nearest within radius, and the placed right points.
-    Every candidate row carries _sure: the number of right points known to lie within radius by boxes alone."""
-    names = _names(coords)
-    levels, placed = _pieces(right, keys, coords, 2 * radius, cap)
-    boxed = ["_weight", "_open", *[f"_{e}{i}" for i in range(len(coords)) for e in ("lo", "hi")]]
-    closed, frontier = None, around(left.select(*keys, *coords), coords, 2 * radius, radius)
-    per_point = Window.partitionBy(*keys, *coords)
-    by_reach = per_point.orderBy("_ub").rangeBetween(Window.unboundedPreceding, 0)
-    for level, boxes in enumerate(levels):
-        met = frontier.join(boxes.select(*keys, *names, *boxed), [*keys, *names]).withColumns(_bounds(coords))
-        met = met.select(*keys, *coords, *names, "_weight", "_open", "_lb", "_ub", F.lit(level).alias("_level"))
-        pool = met if closed is None else closed.unionByName(met)
-        # the k-th smallest farthest distance: no piece beyond it can matter
-        pool = (pool.withColumn("_cum", F.sum("_weight").over(by_reach))
-                .withColumn("_limit", F.min(F.when(F.col("_cum") >= k, F.col("_ub"))).over(per_point))
-                .where(F.col("_lb") <= F.least(F.coalesce("_limit", F.lit(float(radius))), F.lit(float(radius))) * (1 + 1e-12) + 1e-12)
-                .drop("_cum", "_limit"))
-        if level == len(levels) - 1:
-            return pool.drop("_open"), placed
-        pool = cut_lineage(pool)
-        closed = pool.where(~F.col("_open"))
-        children = F.array(*[F.array(*[F.lit((code >> i) & 1).cast("long") for i in range(len(coords))])
-                             for code in range(2**len(coords))])
-        frontier = (pool.where(F.col("_open")).withColumn("_half", F.explode(children))
-                    .select(*keys, *coords, *[(F.col(n) * 2 + F.col("_half")[i]).alias(n) for i, n in enumerate(names)]))
-    raise AssertionError("the piece levels never end empty")
-
-
-def _candidates(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], k: int, radius: float, cap: int) -> DataFrame:
-    """Left point, right point, d for pairs within radius that include each left point's k nearest."""
-    names = _names(coords)
-    if not is_crowded(right, keys, coords, 2 * radius, cap):
-        taken = _right(right.select(*keys, *coords, "_w", *grid(coords, 2 * radius)), keys, coords, names)
-        met = around(left.select(*keys, *coords), coords, 2 * radius, radius).join(taken, [*keys, *names])
-    else:
-        pool, placed = _walk(left, right, keys, coords, k, radius, cap)
-        taken = _right(placed, keys, coords, [*names, "_level"])
-        met = pool.select(*keys, *coords, *names, "_level").join(taken, [*keys, *names, "_level"])
-    return met.drop(*names, "_level").withColumn("d", _distance(coords)).where(F.col("d") <= radius)
-
-
 def _take_nearest(pairs: DataFrame, keys: list[str], coords: list[str], k: int) -> DataFrame:
     """The k nearest per left point by weight; _take says how many copies of the right point count."""
     near = [f"n_{c}" for c in coords]
@@ -149,53 +68,49 @@ def _take_nearest(pairs: DataFrame, keys: list[str], coords: list[str], k: int)
             .select(*keys, *coords, *near, "d", "_take"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], radius: float, k: int = 1,
-            limit: float | None = None, cap: int = CAP) -> DataFrame:
+def _trees(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], leaf: int, k: int,
+           beyond: float | None = None) -> tuple[boxes.Tree, boxes.Tree]:
+    """The trees of both sides' distinct points, without those of a null or NaN coordinate."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select(*keys, *coords, one.alias("_left"), none.alias("_right")).unionByName(
+        right.select(*keys, *coords, none.alias("_left"), one.alias("_right")))
+    whole = F.lit(True)
+    for c in coords:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    both = both.where(whole).groupBy(*keys, *coords).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+    return boxes.pack_points(cut_lineage(both), keys, coords, leaf, k, beyond)
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], k: int = 1, limit: float | None = None,
+            leaf: int = boxes.LEAF) -> DataFrame:
     """For every distinct left point the k nearest right points (by number of copies) as rows n_<coord>, d, _take.
 
-    With a limit, neighbours beyond it do not count and left points without one have no row. Without a limit the
-    radius triples for the uncertain points until all are certain; keys without right points have no rows."""
-    left = distinct_points(left, keys, coords)
-    right = distinct_points(right, keys, coords)
-    if limit is not None and radius >= limit:
-        return _take_nearest(_candidates(left, right, keys, coords, k, float(limit), cap), keys, coords, k)
-    right = cut_lineage(right)
-    sides = left.select(*coords).unionByName(right.select(*coords))
-    reach = sides.agg(norm(*[F.max(c) - F.min(c) for c in coords]).alias("r")).first()["r"]
-    if reach is None:
-        reach = 0.0
-    bound = min(v for v in (reach * (1 + 1e-9) + 1e-9, limit) if v is not None)
-    pending = left.join(right.select(*keys).distinct(), keys, "left_semi") if keys else left
-    pending, parts = cut_lineage(pending), None
-    while True:
-        radius = min(float(radius), bound)
-        found = cut_lineage(_take_nearest(_candidates(pending, right, keys, coords, k, radius, cap), keys, coords, k))
-        if radius >= bound:
-            return found if parts is None else parts.unionByName(found)
-        done = found.groupBy(*keys, *coords).agg(F.sum("_take").alias("_t")).where(F.col("_t") >= k).select(*keys, *coords)
-        settled = found.join(done, [*keys, *coords], "left_semi")
-        parts = settled if parts is None else parts.unionByName(settled)
-        pending = cut_lineage(pending.join(done, [*keys, *coords], "left_anti"))
-        if pending.limit(1).isEmpty():
-            return parts
-        radius *= 3
+    With a limit, neighbours beyond it do not count and left points without one have no row; without one only keys
+    without right points have no rows. Points with a null or NaN coordinate have none."""
+    mine, theirs = _trees(left, right, keys, coords, leaf, k)
+    pairs = boxes.near_leaves(mine, theirs, keys, len(coords), k, limit)
+    asked = boxes.at_points(mine.items, pairs, keys, coords, k, limit).select(*keys, *coords, "_a", "_b", "_reach")
+    met = boxes.with_partners(asked, pairs, _right(theirs.items, keys, coords, ["_node"]), keys)
+    close = met.withColumn("d", _distance(coords)).where(F.col("d") <= F.col("_reach"))
+    if limit is not None:
+        close = close.where(F.col("d") <= limit)
+    return _take_nearest(close.drop("_reach"), keys, coords, k)
 
 
 def exists(left: DataFrame, right: DataFrame, keys: list[str], coords: list[str], radius: float, k: int = 1,
-           cap: int = CAP) -> DataFrame:
-    """The distinct left points with at least k right points (copies counted) within radius. Pieces that lie wholly
-    within the radius settle a point without any distance."""
-    left, right = distinct_points(left, keys, coords), distinct_points(right, keys, coords)
-    names = _names(coords)
-    if not is_crowded(right, keys, coords, 2 * radius, cap):
-        pairs = _candidates(left, right, keys, coords, k, radius, cap)
-        return pairs.groupBy(*keys, *coords).agg(F.sum("_w").alias("_t")).where(F.col("_t") >= k).select(*keys, *coords)
-    pool, placed = _walk(left, right, keys, coords, k, radius, cap)
-    pool = cut_lineage(pool.withColumn("_sure", F.sum(F.when(F.col("_ub") <= radius, F.col("_weight")).otherwise(0)).over(
-        Window.partitionBy(*keys, *coords))))
-    settled = pool.where(F.col("_sure") >= k).select(*keys, *coords).distinct()
-    taken = _right(placed, keys, coords, [*names, "_level"])
-    open_pairs = (pool.where((F.col("_sure") < k) & (F.col("_ub") > radius)).join(taken, [*keys, *names, "_level"])
-                  .where(_distance(coords) <= radius))
-    counted = open_pairs.groupBy(*keys, *coords, "_sure").agg(F.sum("_w").alias("_t"))
-    return settled.unionByName(counted.where(F.col("_t") + F.col("_sure") >= k).select(*keys, *coords))
+           leaf: int = boxes.LEAF) -> DataFrame:
+    """The distinct left points with at least k right points (copies counted) within radius. Many find them in their own
+    leaf; of the others, boxes that lie wholly within the radius of each other settle all their points at once."""
+    mine, theirs = _trees(left, right, keys, coords, leaf, k, radius)
+    soon, late = mine.items.where(F.col("_seed") <= radius), mine.items.where(F.col("_seed") > radius)
+    settled, pairs = boxes.within_leaves(mine, theirs, keys, len(coords), radius, k)
+    whole = late.join(settled, [*keys, "_node"], "left_semi").select(*keys, *coords)
+    asked = boxes.at_points(late.drop("_seed"), pairs, keys, coords, None, radius)
+    inside = F.sum(F.when(F.col("_most") <= radius, F.col("_bweight")).otherwise(0)).over(Window.partitionBy(*keys, "_a", *coords))
+    asked = cut_lineage(asked.withColumn("_sure", F.col("_sure") + inside).select(*keys, *coords, "_a", "_b", "_sure", "_most"))
+    sure = asked.where(F.col("_sure") >= k).select(*keys, *coords).distinct()
+    open_ = asked.where((F.col("_sure") < k) & (F.col("_most") > radius))
+    met = boxes.with_partners(open_, pairs, _right(theirs.items, keys, coords, ["_node"]), keys)
+    counted = (met.where(_distance(coords) <= radius).groupBy(*keys, *coords, "_sure").agg(F.sum("_w").alias("_t"))
+               .where(F.col("_t") + F.col("_sure") >= k))
+    return soon.select(*keys, *coords).unionByName(whole).unionByName(sure).unionByName(counted.select(*keys, *coords))

@@ -41,7 +41,7 @@ def _matches(moved: DataFrame, target: DataFrame, keys: list[str], shared: bool,
     """Moved points with their nearest target point within distance. A target shared by all groups is searched once for
     all of them."""
     on = [] if shared else keys
-    found = near.nearest(moved, target, on, XYZ, distance, limit=distance).select(*on, *XYZ, "n_x", "n_y", "n_z", "d")
+    found = near.nearest(moved, target, on, XYZ, limit=distance).select(*on, *XYZ, "n_x", "n_y", "n_z", "d")
     return moved.join(found, [*on, *XYZ])
 
 

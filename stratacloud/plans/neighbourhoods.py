@@ -38,11 +38,11 @@ def mesh(spark, sf):
 
 
 def e1(spark, sf):
-    return quantised(n.distance_summary(n.nearest_distance(*_split(spark, sf), ["scan"], 1.0), ["scan"]), "median", "p90")
+    return quantised(n.distance_summary(n.nearest_distance(*_split(spark, sf), ["scan"]), ["scan"]), "median", "p90")
 
 
 def e1_rows(spark, sf):
-    return quantised(n.nearest_distance(*_split(spark, sf), ["scan"], 1.0), "d").select("scan", "x", "y", "z", "d")
+    return quantised(n.nearest_distance(*_split(spark, sf), ["scan"]), "d").select("scan", "x", "y", "z", "d")
 
 
 def e2(spark, sf):
@@ -56,7 +56,7 @@ def e3(spark, sf):
 
 
 def e4(spark, sf):
-    kept = n.remove_outliers(b.points(spark, sf), 8, 1.0, ["frame"], 6.0)
+    kept = n.remove_outliers(b.points(spark, sf), 8, 1.0, ["frame"])
     return kept.groupBy("frame").agg(F.count("*").alias("kept"), quantise(F.avg("mean_d")).alias("mean_d"))
 
 

@@ -24,11 +24,11 @@ def distances(a, b):
     return np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
 
 
-@pytest.mark.parametrize("hot,cap", [(False, 1000), (True, 16)])
-def test_nearest_without_limit(spark, hot, cap):
+@pytest.mark.parametrize("hot,leaf", [(False, 32), (True, 4)])
+def test_nearest_without_limit(spark, hot, leaf):
     rng = np.random.default_rng(1)
     a, b = cloud(rng, 300, hot), cloud(rng, 400, hot)
-    got = near.nearest(frame(spark, a), frame(spark, b), ["k"], XYZ, 0.5, cap=cap).toPandas()
+    got = near.nearest(frame(spark, a), frame(spark, b), ["k"], XYZ, leaf=leaf).toPandas()
     found = {tuple(r[:3]): r[3] for r in got[[*XYZ, "d"]].itertuples(index=False)}
     want = distances(a, b).min(1)
     assert len(found) == len({tuple(p) for p in a})
@@ -36,22 +36,22 @@ def test_nearest_without_limit(spark, hot, cap):
         assert found[tuple(p)] == pytest.approx(d, abs=1e-12)
 
 
-@pytest.mark.parametrize("cap", [1000, 16])
-def test_k_nearest_counts_copies(spark, cap):
+@pytest.mark.parametrize("leaf", [32, 4])
+def test_k_nearest_counts_copies(spark, leaf):
     rng = np.random.default_rng(2)
     a = cloud(rng, 240, True)
-    got = n.neighbour_distance(frame(spark, a), 20, ["k"], 0.5, cap).toPandas()
+    got = n.neighbour_distance(frame(spark, a), 20, ["k"], leaf).toPandas()
     found = {tuple(r[:3]): r[3] for r in got[[*XYZ, "mean_d"]].itertuples(index=False)}
     want = np.sort(distances(a, a), 1)[:, :20].mean(1)
     for p, d in zip(a, want):
         assert found[tuple(p)] == pytest.approx(d, abs=1e-9)
 
 
-@pytest.mark.parametrize("cap,k", [(1000, 1), (16, 1), (16, 12)])
-def test_exists(spark, cap, k):
+@pytest.mark.parametrize("leaf,k", [(32, 1), (4, 1), (4, 12)])
+def test_exists(spark, leaf, k):
     rng = np.random.default_rng(3)
     a, b = cloud(rng, 300, True), cloud(rng, 300, True)
-    got = near.exists(frame(spark, a), frame(spark, b), ["k"], XYZ, 1.1, k, cap).toPandas()
+    got = near.exists(frame(spark, a), frame(spark, b), ["k"], XYZ, 1.1, k, leaf).toPandas()
     want = {tuple(p) for p, row in zip(a, distances(a, b)) if (row <= 1.1).sum() >= k}
     assert {tuple(r) for r in got[XYZ].itertuples(index=False)} == want
 
@@ -74,13 +74,13 @@ def brute_clusters(points, eps, min_points):
     return core, label, d
 
 
-@pytest.mark.parametrize("cap", [1000, 16])
-def test_density_clusters(spark, cap):
+@pytest.mark.parametrize("leaf", [32, 4])
+def test_density_clusters(spark, leaf):
     rng = np.random.default_rng(4)
     a = np.vstack([rng.normal(scale=0.4, size=(120, 3)), rng.normal(scale=0.4, size=(90, 3)) + 4, rng.uniform(-3, 8, (60, 3)),
                    np.repeat([[1.0, 1.0, 9.0]], 30, 0)])
     core, label, d = brute_clusters(a, 0.5, 6)
-    got = n.density_clusters(frame(spark, a), 0.5, 6, ["k"], cap).toPandas()
+    got = n.density_clusters(frame(spark, a), 0.5, 6, ["k"], leaf).toPandas()
     mine = {tuple(r[:3]): r[3] for r in got[[*XYZ, "cluster"]].itertuples(index=False)}
     pairing = {}
     for p, c, lab in zip(a, core, label):
@@ -126,17 +126,56 @@ def triangles(spark):
     return spark.createDataFrame(pd.DataFrame(rows, columns=["tri", *n.CORNERS]).astype({"tri": "int64"}))
 
 
-def test_mesh_routes_agree(spark, monkeypatch):
+def closest_by_hand(p, corners):
+    """Distance of a point to a triangle by the barycentric coordinates of its foot, else to the edges."""
+    a, b, c = corners
+    best = np.inf
+    u = np.linalg.lstsq(np.c_[b - a, c - a], p - a, rcond=None)[0]
+    if (u >= 0).all() and u.sum() <= 1:
+        best = np.linalg.norm(a + u[0] * (b - a) + u[1] * (c - a) - p)
+    for s, e in ((a, b), (b, c), (c, a)):
+        t = np.clip((p - s) @ (e - s) / ((e - s) @ (e - s)), 0, 1)
+        best = min(best, np.linalg.norm(s + t * (e - s) - p))
+    return best
+
+
+@pytest.mark.parametrize("huge", [False, True])
+def test_closest_on_mesh(spark, huge):
     rng = np.random.default_rng(6)
-    points = frame(spark, np.c_[rng.uniform(-5, 25, (120, 2)), rng.uniform(-6, 9, 120)])
+    places = np.r_[np.c_[rng.uniform(-5, 25, (90, 2)), rng.uniform(-6, 9, 90)], rng.uniform(-900, 900, (30, 3))]
+    points = frame(spark, np.r_[places, places[:5]])
     mesh = triangles(spark)
-    large = n.closest_on_mesh(points, mesh, ["k"], 0.7).toPandas().sort_values(XYZ, ignore_index=True)
-    monkeypatch.setattr(n, "BROADCAST_TRIANGLES", 10_000)
-    small = n.closest_on_mesh(points, mesh, ["k"]).toPandas().sort_values(XYZ, ignore_index=True)
-    assert len(large) == 120
-    np.testing.assert_allclose(large["distance"], small["distance"], atol=1e-9)
-    gap = np.sqrt(((small[XYZ].to_numpy() - small[["qx", "qy", "qz"]].to_numpy()) ** 2).sum(1))
-    np.testing.assert_allclose(gap, small["distance"], atol=1e-9)
+    if huge:    # one triangle a thousand times as wide as the others, across all of them
+        mesh = mesh.unionByName(spark.createDataFrame([(9_000_000, -800.0, -700.0, -3.0, 900.0, -600.0, 4.0, 0.0, 990.0, 2.0)], mesh.schema))
+    got = n.closest_on_mesh(points, mesh, ["k"]).toPandas()
+    tri = mesh.toPandas()[n.CORNERS].to_numpy().reshape(-1, 3, 3)
+    assert len(got) == 120
+    for r in got.itertuples(index=False):
+        p = np.array([r.x, r.y, r.z])
+        assert r.distance == pytest.approx(min(closest_by_hand(p, t) for t in tri), abs=1e-9)
+        assert r.distance == pytest.approx(np.linalg.norm(p - [r.qx, r.qy, r.qz]), abs=1e-9)
+
+
+def test_crowded_left_cell_makes_no_large_group(spark):
+    """Half of the left points in a ball far smaller than the rest, all with the same few right points."""
+    from stratacloud.functions import boxes
+
+    rng = np.random.default_rng(8)
+    left = np.r_[rng.normal(scale=1e-4, size=(3000, 3)), rng.uniform(-50, 50, (3000, 3))]
+    right = np.r_[rng.uniform(-60, 60, (40, 3)), [[1.0, 0, 0]]]
+    mine, theirs = near._trees(frame(spark, left), frame(spark, right), ["k"], XYZ, boxes.LEAF, 1)
+    assert mine.leaves.agg({"_weight": "max"}).first()[0] <= boxes.LEAF
+    got = near.nearest(frame(spark, left), frame(spark, right), ["k"], XYZ).toPandas()
+    np.testing.assert_allclose(np.sort(got["d"]), np.sort(distances(left, right).min(1)), atol=1e-12)
+
+
+def test_empty_sides_and_missing_coordinates(spark):
+    rows = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0), (0, float("nan"), 1.0, 1.0), (1, 5.0, 5.0, 5.0)], "k long, x double, y double, z double")
+    none = rows.where("false")
+    assert near.nearest(rows, none, ["k"], XYZ).count() == near.nearest(none, rows, ["k"], XYZ).count() == 0
+    assert near.exists(rows, none, ["k"], XYZ, 1.0).count() == 0
+    assert sorted(r["d"] for r in near.nearest(rows, rows, ["k"], XYZ, 3).collect()) == [0.0, 0.0]
+    assert near.nearest(rows, rows.where("k = 1"), [], XYZ, limit=1.0).count() == 1
 
 
 def test_surface_samples(spark):
