@@ -45,15 +45,20 @@ def ordered_next(df: DataFrame, keys: list[str], order: str, payload: list[str],
     return ordered_lag(flipped, keys, "_minus", payload, prefix, width).drop("_minus")
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = BUCKET) -> DataFrame:
-    """Add the running sum of value within keys up to and including each row."""
-    cut = _bucketed(df, order, width).withColumn("_value", value)
+def running_totals(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = BUCKET) -> DataFrame:
+    """Add running sums within keys up to and including each row, one per name."""
+    cut = _bucketed(df, order, width).withColumns({f"_v_{n}": v for n, v in values.items()})
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cut.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_t"))
+    totals = cut.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = totals.select(*keys, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    summed = _attach(cut.withColumn("_run", F.sum("_value").over(inside)), edges, keys)
-    return summed.select(*df.columns, (F.col("_run") + F.col("_before")).alias(name))
+    edges = totals.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    summed = _attach(cut.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(inside) for n in values}), edges, keys)
+    return summed.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = BUCKET) -> DataFrame:
+    """running_totals for one value."""
+    return running_totals(df, keys, order, {name: value}, width)
 
 
 def following_extremes(df: DataFrame, keys: list[str], order: str, value: str, width: int = BUCKET) -> DataFrame:

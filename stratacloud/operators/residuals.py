@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratacloud.functions.columns import col, not_nan, norm, rms_if
 from stratacloud.functions.quantiles import with_quantiles
+from stratacloud.session import cut_lineage
 
 SQUARED = "du * du + dv * dv"
 
@@ -42,6 +43,24 @@ def training_rows(rows: DataFrame, splits: DataFrame, column: str = "group", ban
     return kept.join(splits.select("split", "test"), ~F.array_contains("test", F.col(column))).drop("test")
 
 
+def training_means(rows: DataFrame, splits: DataFrame, values: list[str], column: str = "group", band: tuple | None = None,
+                   distance: str = "distance_mm") -> DataFrame:
+    """Per split the count and the means of values over its training rows (as training_rows), without a row per row and
+    split: every group is summed once, and a split's sums are all rows' sums minus those of its held-out groups."""
+    kept = rows if band is None else rows.where((F.col(distance) >= band[0]) & (F.col(distance) < band[1]))
+    counts = {v: f"_n_{v}" for v in values}
+    sums = [F.count("*").alias("n"), *[F.sum(v).alias(f"_s_{v}") for v in values], *[F.count(v).alias(c) for v, c in counts.items()]]
+    names = ["n", *[f"_s_{v}" for v in values], *counts.values()]
+    groups = cut_lineage(kept.groupBy(column).agg(*sums))
+    # rows of no group are in no split: a null group is neither held out nor known not to be
+    whole = groups.where(F.col(column).isNotNull()).agg(*[F.sum(n).alias(f"_all{n}") for n in names])
+    held = (splits.select("split", F.explode("test").alias(column)).join(groups, column, "left").groupBy("split")
+            .agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]))
+    left = {n: F.coalesce(F.col(f"_all{n}"), F.lit(0)) - F.col(n) for n in names}
+    return held.crossJoin(F.broadcast(whole)).select("split", left["n"].alias("n"), *[      # one row
+        F.try_divide(left[f"_s_{v}"], left[counts[v]]).alias(v) for v in values]).where("n > 0")
+
+
 def residual_rms(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sqrt(F.avg(F.expr(SQUARED))).alias("rms"), F.count("*").alias("n"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratacloud.functions.columns import norm
 from stratacloud.functions.geometry import compose, cross, dot, inverse, motion, turn_deg
 from stratacloud.functions.matrices import symmetric_eigen
-from stratacloud.functions.ordered import following_extremes, ordered_lag, running_total
+from stratacloud.functions.ordered import following_extremes, ordered_lag, running_total, running_totals
 from stratacloud.functions.quantiles import exact_quantiles, with_quantiles
 from stratacloud.operators.fit import S, T, align, join_keys, pose_pairs
 from stratacloud.operators.sync import nearest_in_time
@@ -197,7 +197,11 @@ def assess(frames: DataFrame, estimate: DataFrame, keys: list[str], criteria: di
         F.count("*").alias("posed"), F.count("step").alias("_steps"), F.count(F.when(F.col("step") > criteria["max_jump_mm"], 1)).alias("jumps"))
     listed = frames.select(*keys, "frame").distinct().groupBy(*keys).agg(F.count("*").alias("frames"))
     rows = listed.join(moves, keys, "left") if keys else listed.join(F.broadcast(moves), F.lit(True), "left")
-    rows = rows.na.fill(0, ["posed", "_steps", "jumps"])
+    return _verdict(rows.na.fill(0, ["posed", "_steps", "jumps"]), keys, criteria)
+
+
+def _verdict(rows: DataFrame, keys: list[str], criteria: dict) -> DataFrame:
+    """From counts (frames, posed, _steps, jumps) per key the shares, whether they fail the criteria, and why."""
     share, jumpy = F.col("posed") / F.col("frames"), F.coalesce(F.try_divide(F.col("jumps"), F.col("_steps")), F.lit(0.0))
     few = F.when(share < criteria["min_posed_fraction"], F.format_string(
         f"posed %d/%d < {100 * criteria['min_posed_fraction']:.0f}%%", "posed", "frames"))
@@ -215,6 +219,31 @@ def candidate_starts(sizes: DataFrame, step: int, fraction: float, n: str = "fra
     return sizes.withColumn("start", F.explode(F.concat(F.array(F.lit(0).cast("long")), some)))
 
 
+def assess_starts(frames: DataFrame, estimate: DataFrame, keys: list[str], step: int, fraction: float, criteria: dict = CRITERIA) -> DataFrame:
+    """assess for the run from frame 0 and from every candidate start on, as (keys, start, ...).
+
+    Starts are whole multiples of step, so frames are counted once per block of step frames, and what follows a start is
+    the sum over its own and all later blocks. A step counts in the block of the frame it leaves from: in a run that
+    starts later it does not happen."""
+    listed = frames.select(*keys, "frame").distinct()
+    moves = steps(with_position(posed(estimate)).select(*keys, "frame", *XYZ), keys)
+    starts = candidate_starts(listed.groupBy(*keys).agg(F.count("*").alias("frames")), step, fraction).select(*keys, "start")
+    names = ["frames", "posed", "_steps", "jumps"]
+
+    def counted(rows: DataFrame, at: str, **counts: Column) -> DataFrame:
+        return rows.select(*keys, (-F.floor(F.col(at) / step)).cast("long").alias("_back"), counts.get("start", F.lit(None).cast("long")).alias("start"),
+                           *[counts.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+
+    left_from = moves.where(F.col("step").isNotNull())
+    parts = [counted(starts, "start", start=F.col("start")), counted(listed, "frame", frames=F.lit(1)), counted(moves, "frame", posed=F.lit(1)),
+             counted(left_from, "prev_frame", _steps=F.lit(1), jumps=F.when(F.col("step") > criteria["max_jump_mm"], 1).otherwise(0))]
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    blocks = union.groupBy(*keys, "_back").agg(F.max("start").alias("start"), *[F.sum(n).alias(f"_{n}_here") for n in names])
+    totals = running_totals(blocks, keys, "_back", {n: F.col(f"_{n}_here") for n in names})
+    # a start without a frame from it on lists nothing, as a plain assessment of no frames
+    return _verdict(totals.where(F.col("start").isNotNull() & (F.col("frames") > 0)), [*keys, "start"], criteria)
+
+
 def choose_restart(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """From assessed attempts (keys, start, failed): the first start that passed, null where none did or the run from
     frame 0 passed, and the attempts made until then."""

@@ -234,12 +234,8 @@ def g6(spark, sf):
 
 
 def g7(spark, sf):
-    frames = reference(spark, sf).select("recording", "frame")
-    sizes = frames.groupBy("recording").agg(F.max("frame").alias("frames"))
-    starts = t.candidate_starts(sizes, 60, 0.7).select("recording", "start")
-    runs = estimate(spark, sf).join(starts, "recording").where(F.col("frame") >= F.col("start"))
-    listed = frames.join(starts, "recording").where(F.col("frame") >= F.col("start"))
-    verdicts = t.assess(listed, runs, ["recording", "start"], {**t.CRITERIA, "max_jump_mm": 22.0, "max_jump_fraction": 0.3, "min_posed_fraction": 0.75})
+    criteria = {**t.CRITERIA, "max_jump_mm": 22.0, "max_jump_fraction": 0.3, "min_posed_fraction": 0.75}
+    verdicts = t.assess_starts(reference(spark, sf), estimate(spark, sf), ["recording"], 5, 0.7, criteria)
     return t.choose_restart(verdicts, ["recording"])
 
 
@@ -374,8 +370,8 @@ ORACLES = {
         SELECT recording, frames, posed, {q('round_even(share, 3)')} AS posed_fraction, jumps, {q('round_even(jumpy, 3)')} AS jump_fraction,
         share < 0.8 OR jumpy > 0.2 AS failed, concat_ws('; ', CASE WHEN share < 0.8 THEN 'posed ' || posed || '/' || frames || ' < 80%' END,
         CASE WHEN jumpy > 0.2 THEN jumps || ' jumps > 30 mm (' || round_even(jumpy * 100, 0)::BIGINT || '% of steps)' END) AS reasons FROM ass"""),
-    "g7_restart": sql("poses", body=_POS + """, sz AS (SELECT recording, max(frame) AS n FROM pos GROUP BY recording),
-        sts AS (SELECT recording, 0::BIGINT AS start FROM sz UNION ALL SELECT recording, unnest(range(60, floor(n * 0.7)::BIGINT + 1, 60)) FROM sz),
+    "g7_restart": sql("poses", body=_POS + """, sz AS (SELECT recording, count(DISTINCT frame) AS n FROM pos GROUP BY recording),
+        sts AS (SELECT recording, 0::BIGINT AS start FROM sz UNION ALL SELECT recording, unnest(range(5, floor(n * 0.7)::BIGINT + 1, 5)) FROM sz),
         run AS (SELECT e.*, start FROM est e JOIN sts USING (recording) WHERE frame >= start),
         listed AS (SELECT p.recording, p.frame, start FROM pos p JOIN sts USING (recording) WHERE frame >= start)""" + _steps("run", "moved", ", start") +
         _ASSESS.format(k="recording, start", jump=22) + """, v AS (SELECT recording, start, share < 0.75 OR jumpy > 0.3 AS failed FROM ass),

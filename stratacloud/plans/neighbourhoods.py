@@ -85,7 +85,8 @@ def e8(spark, sf):
 
 def e9(spark, sf):
     tri = cut_lineage(mesh(spark, sf))
-    scored = n.closest_on_mesh(b.points(spark, sf), tri)
+    points = cut_lineage(n.in_footprint(b.points(spark, sf).select("x", "y", "z"), tri, 2.0).where("inside").drop("inside"))
+    scored = points.join(n.closest_on_mesh(points, tri), ["x", "y", "z"])      # every copy of a position counts
     samples = n.covered(n.sample_surface(tri), b.points(spark, sf))
     return n.facet_scorecard(scored, n.facet_labels(tri, 5.0), samples)
 

@@ -36,10 +36,10 @@ def i1(spark, sf):
 
 
 def i2(spark, sf):
-    frames = b.residuals(spark, sf).where("split < 6").select(F.col("split").alias("group"), "frame_distance_mm")
+    frames = b.residuals(spark, sf).select(F.col("split").alias("group"), "frame_distance_mm")
     splits = r.leave_groups_out(frames, 2)
-    return r.training_rows(frames, splits, band=(200.0, 800.0), distance="frame_distance_mm").groupBy("split").agg(
-        F.count("*").alias("n"), quantise(F.avg("frame_distance_mm"), 3).alias("mean_mm"))
+    means = r.training_means(frames, splits, ["frame_distance_mm"], band=(200.0, 800.0), distance="frame_distance_mm")
+    return means.select("split", "n", quantise("frame_distance_mm", 3).alias("mean_mm"))
 
 
 def i3(spark, sf):
@@ -159,7 +159,7 @@ _INTERVAL = f"{Q('avg(value)')} AS mean, {Q('quantile_cont(value, 0.025)')} AS l
 ORACLES = {
     "i1_leave_groups_out": sql("residuals", body=""", g AS (SELECT DISTINCT split AS g FROM residuals)
         SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split, a.g AS first, b.g AS second FROM g a JOIN g b ON a.g < b.g"""),
-    "i2_training_rows": sql("residuals", body=f""", f AS (SELECT split AS g, frame_distance_mm AS d FROM residuals WHERE split < 6),
+    "i2_training_rows": sql("residuals", body=f""", f AS (SELECT split AS g, frame_distance_mm AS d FROM residuals),
         g AS (SELECT DISTINCT g FROM f), s AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS split, a.g AS x, b.g AS y FROM g a JOIN g b ON a.g < b.g)
         SELECT split, count(*) AS n, {Q('avg(d)', 3)} AS mean_mm FROM f JOIN s ON f.g <> s.x AND f.g <> s.y WHERE d >= 200 AND d < 800 GROUP BY split"""),
     "i3_residual_rms": sql("residuals", body=f"""SELECT split, technique, camera, {Q('sqrt(avg(du*du + dv*dv))')} AS rms, count(*) AS n

@@ -275,3 +275,21 @@ def test_pose_round_trip(spark):
     for row in q.collect():
         np.testing.assert_allclose(row["B"], row["T"], atol=1e-9)
         np.testing.assert_allclose(np.array(row["E"]).reshape(4, 4), np.eye(4), atol=1e-9)
+
+
+def test_starts_are_assessed_as_runs_of_their_own(spark):
+    """Every start's verdict equals that of a plain assessment of the frames from it on; the frames' numbers have gaps."""
+    rng = np.random.default_rng(12)
+    numbers = sorted(rng.choice(400, 90, replace=False).tolist())
+    rows = []
+    for k, n in enumerate(numbers):
+        pose = np.eye(4)
+        pose[:3, 3] = [k * 3.0 + (60.0 if rng.random() < 0.2 else 0.0), 0, 0]
+        rows.append((1, n, pose.ravel().tolist(), int(rng.random() < 0.15)))
+    poses = spark.createDataFrame(rows, "rec long, frame long, T array<double>, lost int")
+    got = {x["start"]: x for x in t.assess_starts(poses, poses, ["rec"], 10, 0.5).collect()}
+    assert sorted(got) == [0, 10, 20, 30, 40]      # by the number of frames, not the largest
+    for start, verdict in got.items():
+        from_here = poses.where(poses.frame >= start)
+        want = t.assess(from_here, from_here, ["rec"]).first()
+        assert {c: verdict[c] for c in want.asDict()} == want.asDict()

@@ -100,3 +100,16 @@ def test_scale_bars_brute_force(spark):
 def test_counts_helper(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "v int")
     assert df.agg(count_if(F.col("v") > 1).alias("n")).first()["n"] == 1
+
+
+def test_training_means_equal_means_of_training_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(g), float(d), None if rng.random() < 0.1 else float(v)) for g, d, v in zip(rng.integers(0, 7, 400), rng.uniform(0, 1000, 400), rng.normal(size=400))]
+    frame = spark.createDataFrame(rows, "group long, distance_mm double, v double")
+    splits = r.leave_groups_out(frame, 3)
+    got = {x["split"]: x for x in r.training_means(frame, splits, ["v"], band=(200.0, 800.0)).collect()}
+    assert len(got) == 35
+    for split in splits.collect():
+        mine = [(g, d, v) for g, d, v in rows if g not in split["test"] and 200 <= d < 800]
+        assert got[split["split"]]["n"] == len(mine)
+        assert got[split["split"]]["v"] == pytest.approx(np.mean([v for *_, v in mine if v is not None]))
