@@ -91,6 +91,11 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(_MOST_POWERS)
 
 
+def word_powers(longest: int) -> np.ndarray:
+    """Multipliers of the places in a word, for words of up to longest places."""
+    return _POWERS if longest <= _MOST_POWERS else _powers(longest)
+
+
 def _word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin, and which bytes are space."""
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -123,8 +128,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     # a byte's place in its word; spaces weigh nothing
     lengths = np.diff(np.append(starts, len(data))).astype(np.int32)
     place = np.arange(len(letters), dtype=np.int32) - np.repeat((starts - base).astype(np.int32), lengths)
-    powers = _POWERS if lengths.max() <= _MOST_POWERS else _powers(int(lengths.max()))
-    values = powers[place] * (letters.astype(np.uint64) + np.uint64(1))
+    values = word_powers(int(lengths.max()))[place] * (letters.astype(np.uint64) + np.uint64(1))
     values *= ~space[base:]
     return mix(np.add.reduceat(values, starts - base)), np.searchsorted(starts, offsets)
 

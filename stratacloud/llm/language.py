@@ -7,7 +7,6 @@ does not know is scored by the longest n-grams of it that it does know, at a fix
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratacloud.llm.common import slices, texts, written
+from stratacloud.llm.common import mix, slices, texts, word_powers, written
 
 UNKNOWN = "und"
 TRAIN_DOCS = 3_000      # labelled documents per language that the model is fitted on, about
@@ -24,7 +23,7 @@ WORDS = 50_000          # words in the model; also the bound of its n-grams
 LONGEST = 5
 STEP_COST = 0.4         # stupid back-off: weight of a word for each step to shorter n-grams
 REST = 0.5              # count of what a language was never seen with
-_WORD = re.compile(r"[^\W\d_]+")
+SLICE = 2 << 20         # bytes of text whose words are arrays at a time, but for longer texts
 _MOST_UNKNOWN = 200_000  # scores of unknown words that a task keeps
 
 
@@ -46,34 +45,62 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-class _Table(dict):
-    """Rows of a score matrix by word; unknown words are scored on first sight."""
+class _Table:
+    """Score rows by word hash: those of the model, sorted by hash, and those of unknown words, scored on first sight."""
 
     def __init__(self, model: Model):
-        super().__init__((w, i) for i, w in enumerate(model.words))
-        self.model, self.known = model, len(model.words)
-        self.rows = [*model.words.values()]
-        self.matrix = np.array(self.rows).reshape(self.known, len(model.languages))
-
-    def __missing__(self, word: str) -> int:
-        self.rows.append(self.model.unseen(word))
-        self[word] = len(self.rows) - 1
-        return len(self.rows) - 1
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """One row of scores per word."""
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.rows) > len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.array(self.rows[len(self.matrix):])])
-        out = self.matrix[at]
-        if len(self.rows) > self.known + _MOST_UNKNOWN:
-            for word in list(self)[self.known:]:
-                del self[word]
-            del self.rows[self.known:]
-            self.matrix = self.matrix[:self.known]
+        self.model = model
+        starts, stops, points = _words([*model.words])
+        hashes = _hashes(points, starts, stops)     # one per word: a word of the model is all letters
+        order = np.argsort(hashes)
+        self.hashes, self.matrix = hashes[order], np.array([*model.words.values()]).reshape(len(model.words), len(model.languages))[order]
+        self.unknown: dict[int, np.ndarray] = {}
+
+    def scores(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """One row of scores per word, given where words begin and end among code points."""
+        hashes = _hashes(points, starts, stops)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.empty((len(hashes), len(self.model.languages)))
+        out[known] = self.matrix[at[known]]
+        rest = np.flatnonzero(~known)
+        each, first, again = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        if len(self.unknown) > _MOST_UNKNOWN:
+            self.unknown.clear()
+        rows = np.empty((len(each), len(self.model.languages)))
+        for k, (h, word) in enumerate(zip(each.tolist(), rest[first].tolist(), strict=True)):
+            if h not in self.unknown:
+                self.unknown[h] = self.model.unseen(points[starts[word]:stops[word]].tobytes().decode("utf-32-le"))
+            rows[k] = self.unknown[h]
+        out[rest] = rows[again]
         return out
 
 
+_LETTER: list[np.ndarray] = []
+
+
+def _words(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words, runs of letters, begin and end among the code points of all texts, each text followed by a line feed;
+    and the code points."""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000))
+    points = np.frombuffer("".join(t + "\n" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _LETTER[0][points]
+    edges = np.flatnonzero(np.diff(letter, prepend=False))      # the last code point is no letter, so words end
+    return edges[::2], edges[1::2], points
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words by their letters."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = stops - starts
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lengths)
+    values = word_powers(int(lengths.max()))[place] * (points[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(values, bounds[:-1]))
+
+
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS) -> Model:
     """The model of labelled documents (doc_id, text, lang); rows without text or lang are left out.
 
@@ -107,35 +134,39 @@ def _grams(word: Column, size: int) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score (posterior of the best language, 0 to 1) added; columns of these names are replaced.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (posterior of the best language, 0 to 1) added, under the given names; columns of
+    these names are replaced.
 
-    lang_pred is und with score 0 where text is null or has no letter, or the model knows no language. Equal scores go
-    to the language first in order. The whole text counts; repeated rows get equal answers."""
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(columns).schema.add("lang_pred", "string").add("score", "double")
+    lang_pred is und with score 0 where text is null or has no letter (Unicode category L), or the model knows no
+    language. Equal scores go to the language first in order. The whole text counts; repeated rows get equal answers; an
+    empty table gives an empty one."""
+    columns = [c for c in docs.columns if c not in names]
+    schema = docs.select(columns).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Table(model)
-        for batch in slices(batches):
-            names, scores = [], []
-            for text in texts(batch):
-                words = _WORD.findall(text.lower())
-                if not words or not model.languages:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = table.scores(words).sum(axis=0)
-                odds = np.exp(total - total.max())
-                names.append(model.languages[int(odds.argmax())])
-                scores.append(float(odds.max() / odds.sum()))
-            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                  names=[*columns, "lang_pred", "score"])
+        table, languages = _Table(model), np.array([*model.languages, UNKNOWN], object)
+        for batch in slices(batches, SLICE):
+            lowered = [t.lower() for t in texts(batch)]
+            ends = np.cumsum([len(t) + 1 for t in lowered])
+            best, score = np.full(len(lowered), len(model.languages)), np.zeros(len(lowered))
+            starts, stops, points = _words(lowered)
+            if len(starts) and model.languages:
+                bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
+                some = np.flatnonzero(np.diff(bounds))
+                total = np.add.reduceat(table.scores(points, starts, stops), bounds[some], axis=0)
+                odds = np.exp(total - total.max(axis=1, keepdims=True))
+                best[some], score[some] = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
+            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(languages[best], pa.string()), pa.array(score)],
+                                  names=[*columns, *names])
 
     return docs.select(columns).mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """docs whose language is known with score of at least least."""
-    found = predict(docs.withColumn("_row", F.struct(*[F.col(c).alias(c) for c in docs.columns])).select("text", "_row"), model)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    """docs whose language is known with score of at least least; its columns stay as they are, whatever their names."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    found = predict(docs, model, (f"{mark}lang", f"{mark}score"))
+    return found.filter((F.col(f"{mark}lang") != UNKNOWN) & (F.col(f"{mark}score") >= least)).select(docs.columns)
