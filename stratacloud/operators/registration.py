@@ -15,9 +15,10 @@ from stratacloud.functions.normal import normal_solution, normal_sums
 from stratacloud.functions.quantiles import exact_quantiles, with_quantiles
 from stratacloud.operators.cloud import voxel_mean, voxel_vote
 from stratacloud.operators.fit import align, join_keys, remove_common
-from stratacloud.operators.neighbours import XYZ, closest_on_mesh, estimate_normals, in_footprint
+from stratacloud.operators.neighbours import CORNERS, XYZ, closest_on_mesh, estimate_normals, in_footprint, with_normals
 from stratacloud.session import cut_lineage
 
+FEW_TRIANGLES = 256
 IDENTITY = [float(k % 5 == 0) for k in range(16)]
 
 
@@ -39,10 +40,69 @@ def moved_by(points: DataFrame, poses: DataFrame, keys: list[str]) -> DataFrame:
 
 def _matches(moved: DataFrame, target: DataFrame, keys: list[str], shared: bool, distance: float) -> DataFrame:
     """Moved points with their nearest target point within distance. A target shared by all groups is searched once for
-    all of them."""
+    all of them. Every iteration asks anew and within a short distance, so points meet on a plain grid instead of trees
+    that would be packed for one use; clouds to be registered are thinned, as a grid cell's points all meet."""
     on = [] if shared else keys
-    found = near.nearest(moved, target, on, XYZ, limit=distance).select(*on, *XYZ, "n_x", "n_y", "n_z", "d")
-    return moved.join(found, [*on, *XYZ])
+    pairs = near.radius_pairs(moved.select(*on, *XYZ).distinct(), target.select(*on, *XYZ).distinct(), on, XYZ, distance)
+    best = pairs.groupBy(*on, *XYZ).agg(F.min(F.struct("d", "n_x", "n_y", "n_z")).alias("_b"))
+    return moved.join(best.select(*on, *XYZ, "_b.n_x", "_b.n_y", "_b.n_z", "_b.d"), [*on, *XYZ])
+
+
+def _closest_of_few(left: DataFrame, keys: list[str], rows: list) -> DataFrame:
+    """closest_on_mesh for a handful of triangles (counted by the caller): they travel with the task, and every Arrow
+    batch meets them as matrices. No shuffle, no row per pair."""
+    import numpy as np
+
+    tri = np.array([r["tri"] for r in rows], np.int64)
+    corner = {k: np.array([[r[f"{k}{x}"] for x in XYZ] for r in rows], float) for k in "abc"}
+    normal = np.array([[r[f"n{x}"] for x in XYZ] for r in rows], float)
+    order = np.argsort(tri)
+    tri, normal, corner = tri[order], normal[order], {k: v[order] for k, v in corner.items()}
+
+    def solve(p):
+        h = ((p[:, None] - corner["a"]) * normal).sum(2)
+        foot = p[:, None] - h[..., None] * normal
+        inside = np.ones(h.shape, bool)
+        best, at = np.full(h.shape, np.inf), foot.copy()
+        for s, e in (("a", "b"), ("b", "c"), ("c", "a")):
+            edge = corner[e] - corner[s]
+            inside &= (np.cross(edge[None], foot - corner[s]) * normal).sum(2) >= 0
+            t = np.clip(((p[:, None] - corner[s]) * edge).sum(2) / (edge * edge).sum(1), 0, 1)
+            q = corner[s] + t[..., None] * edge
+            d2 = ((p[:, None] - q) ** 2).sum(2)
+            nearer = d2 < best
+            best[nearer], at[nearer] = d2[nearer], q[nearer]
+        flat = inside & (h * h <= best)
+        best[flat], at[flat] = (h * h)[flat], foot[flat]
+        pick = best.argmin(1)       # the lowest triangle id wins a tie
+        row = np.arange(len(p))
+        return pick, at[row, pick], np.sqrt(best[row, pick])
+
+    def walk(batches):
+        for batch in batches:
+            p = batch[XYZ].to_numpy(float)
+            for start in range(0, len(p), 4096):
+                part = p[start:start + 4096]
+                pick, q, distance = solve(part)
+                out = batch.iloc[start:start + 4096][[*keys, *XYZ]].assign(tri=tri[pick])
+                for k, x in enumerate(XYZ):
+                    out[f"q{x}"], out[f"n{x}"] = q[:, k], normal[pick, k]
+                out["distance"] = distance
+                out["signed_distance"] = np.sign(((part - q) * normal[pick]).sum(1)) * distance
+                yield out[[*keys, *XYZ, "tri", "qx", "qy", "qz", "nx", "ny", "nz", "distance", "signed_distance"]]
+
+    kinds = dict(left.dtypes)
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} double" for c in XYZ] + ["tri bigint"]
+                       + [f"{c} double" for c in ("qx", "qy", "qz", "nx", "ny", "nz", "distance", "signed_distance")])
+    return left.select(*keys, *XYZ).mapInPandas(walk, schema)
+
+
+def _closest_to_model(points: DataFrame, mesh: DataFrame, few: list) -> DataFrame:
+    """closest_on_mesh per start. A fit asks in every iteration, so a design of few triangles (counted once by the fit)
+    travels with the tasks; any other goes through the trees of boxes."""
+    if 0 < len(few) <= FEW_TRIANGLES:
+        return _closest_of_few(points.select("start", *XYZ).distinct(), ["start"], few)
+    return closest_on_mesh(points, mesh, ["start"])
 
 
 def _plane_step(matches: DataFrame, keys: list[str], weight: Column | None) -> DataFrame:
@@ -167,6 +227,7 @@ def fit_model(points: DataFrame, triangles: DataFrame, dof: tuple = FITS["on_boa
     yaws = starting_yaws(square is not None) if yaws is None else yaws
     points = cut_lineage(points.select(*XYZ))
     mesh = cut_lineage(triangles)
+    few = with_normals(mesh).select("tri", *CORNERS, "nx", "ny", "nz").take(FEW_TRIANGLES + 1)
     middle = exact_quantiles(points, [], "x", {"px": ("linear", 0.5)}).crossJoin(
         F.broadcast(exact_quantiles(points, [], "y", {"py": ("linear", 0.5)})))
     corners = mesh.select(F.explode(F.array(*[F.struct(*[F.col(f"{p}{a}").alias(a) for a in XYZ]) for p in "abc"])).alias("v")).select("v.*").distinct()
@@ -184,7 +245,7 @@ def fit_model(points: DataFrame, triangles: DataFrame, dof: tuple = FITS["on_boa
         local = points.crossJoin(F.broadcast(current.select("start", "T", "limit"))).withColumns(
             {a: v for a, v in zip(XYZ, apply_pose("T", [F.col(a) for a in XYZ]))})
         flagged = in_footprint(local.select("start", "limit", *XYZ), mesh, margin).where("inside")
-        return flagged.join(closest_on_mesh(flagged, mesh, ["start"]), ["start", *XYZ])
+        return flagged.join(_closest_to_model(flagged, mesh, few), ["start", *XYZ])
 
     for _ in range(iterations):
         live = state.where("live")
