@@ -3,8 +3,9 @@
 The lexicon holds the terms whose inverse document frequency lies in a band: common enough to be no typing error, rare
 enough to tell documents apart. A document keeps its distinct lexicon terms; each of several random subsets of the
 lexicon selects some of them, which are sorted and hashed. An edit changes only those hashes whose subset holds a
-changed term. The subsets come in levels, each half as dense as the one before, and a document uses the two levels
-next to where a subset keeps about one or two of its terms: long and short documents alike have many subsets an edit spares.
+changed term. The subsets come in levels, each half as dense as the one before; subsets of a level share no term, but
+for the densest levels. A document uses the two levels next to where a subset keeps about one or two of its terms: long
+and short documents alike have many subsets an edit spares.
 
 Document frequencies count different texts, not rows: copies of a text make none of its terms common. A text with fewer
 than FEW lexicon terms is filled up to FEW with others of its terms: first those rarer than the band, then the common
@@ -39,52 +40,73 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row with _lexicon: SLOTS arrays of the terms (hash, and excess: 0 in the band, else by how many bits too common)
-    whose idf over the different texts of docs is at most high."""
+    """One row with the terms whose idf over the different texts of docs is at most high, as SLOTS arrays each by the low
+    bits of their hash: _band (hashes of terms in the band) and _common (hash, and excess: by how many bits too common)."""
     text = F.coalesce("text", F.lit(""))
-    # copies meet already where they are read: a text is moved once from each part of the table
-    each = docs.select(F.xxhash64(text).alias("key"), terms(text).alias("terms")).dropDuplicates(["key"]).select("terms")
-    each = written(each, "terms")
-    total = each.agg(F.count("*").alias("n"))
+    # copies meet already where they are read: a text's terms are moved once from each part of the table, and not written
+    each = docs.select(F.xxhash64(text).alias("key"), terms(text).alias("terms")).dropDuplicates(["key"])
+    total = docs.agg(F.count_distinct(F.xxhash64(text)).alias("n"))
     counted = each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log2(F.col("n") / F.col("df"))
     band = counted.crossJoin(F.broadcast(total)).filter(idf <= high)     # one row
-    band = band.select(F.struct("term", F.greatest(F.lit(low) - idf, F.lit(0.0)).cast("float").alias("excess")).alias("held"))
-    slots = band.groupBy(F.pmod("held.term", F.lit(SLOTS)).alias("slot")).agg(F.array_sort(F.collect_list("held")).alias("held"))
-    every = docs.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(slots, "slot", "left")
+    band = band.select("term", F.greatest(F.lit(low) - idf, F.lit(0.0)).cast("float").alias("excess"))
+    slots = band.groupBy(_slot(F.col("term")).alias("slot")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("excess") == 0, F.col("term")))).alias("band"),
+        F.array_sort(F.collect_list(F.when(F.col("excess") > 0, F.struct("term", "excess")))).alias("common"))
+    every = docs.sparkSession.range(SLOTS).withColumn("slot", F.col("id").cast("int")).join(slots, "slot", "left")
+    held = F.struct("slot", F.coalesce("band", F.array().cast("array<bigint>")).alias("band"),
+                    F.coalesce("common", F.array().cast("array<struct<term:bigint,excess:float>>")).alias("common"))
     # SLOTS small rows become one
-    row = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("held", F.array().cast("array<struct<term:bigint,excess:float>>")).alias("held")))).alias("all"))
-    return written(row.select(F.col("all.held").alias("_lexicon")), "lexicon")
+    row = every.agg(F.array_sort(F.collect_list(held)).alias("all"))
+    return written(row.select(F.col("all.band").alias("_band"), F.col("all.common").alias("_common")), "lexicon")
+
+
+def _slot(term: Column) -> Column:
+    return term.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def _draw(term: Column, mask: Column) -> Column:
+    """A term's lot among mask + 1 equally likely ones: bits of its hash that neither its slot nor its rank rests on."""
+    return F.shiftrightunsigned(term, 24).bitwiseAND(mask)
 
 
 def with_prints(rows: DataFrame, book: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with name added: the prints of column text, an array of (level, hashes), and no lexicon left behind."""
+    """rows with name added: the prints of column text, an array of (level, hashes), and no lexicon left behind.
+
+    At level n a subset holds one lexicon term in 2**n. From SUBSETS lots on a term draws one lot and belongs to the
+    subset of that number, if there is one; at lower levels each subset draws by itself."""
     def ranked(t: Column) -> Column:
-        found = F.filter(F.get("_lexicon", F.pmod(t, F.lit(SLOTS)).cast("int")), lambda h: h["term"] == t)
-        excess = F.get(found, F.lit(0))["excess"]
-        rank = F.when(excess.isNull(), F.lit(1)).when(excess == 0, F.lit(0)).otherwise(F.lit(2))
+        excess = F.get(F.filter(F.get("_common", _slot(t)), lambda h: h["term"] == t), F.lit(0))["excess"]
+        rank = F.when(F.array_contains(F.get("_band", _slot(t)), t), F.lit(0)).when(excess.isNull(), F.lit(1)).otherwise(F.lit(2))
         return F.struct(rank.alias("rank"), F.coalesce(excess, F.lit(0).cast("float")).alias("excess"), t.alias("term"))
 
-    rows = rows.crossJoin(F.broadcast(book)).withColumn("_ranked", F.transform(terms(F.col(text)), ranked)).drop("_lexicon")      # one row
-    band = F.filter("_ranked", lambda r: r["rank"] == 0)
-    chosen = F.when(F.size(band) >= FEW, band).otherwise(F.slice(F.array_sort("_ranked"), 1, FEW))
-    rows = rows.withColumn("_kept", F.array_sort(F.transform(chosen, lambda r: r["term"]))).drop("_ranked")
+    rows = rows.crossJoin(F.broadcast(book)).withColumn("_terms", terms(F.col(text)))      # one row
+    rows = rows.withColumn("_held", F.filter("_terms", lambda t: F.array_contains(F.get("_band", _slot(t)), t)))
+    filled = F.transform(F.slice(F.array_sort(F.transform("_terms", ranked)), 1, FEW), lambda r: r["term"])
+    rows = rows.withColumn("_kept", F.array_sort(F.when(F.size("_held") >= FEW, F.col("_held")).otherwise(filled)))
+    rows = rows.drop("_band", "_common", "_terms", "_held")
     size = F.greatest(F.size("_kept"), F.lit(1))
     rows = rows.withColumn("_level", F.least(F.greatest(F.floor(F.log2(size / KEPT)), F.lit(0)), F.lit(LEVELS)).cast("int"))
+    lots = [F.expr(f"shiftleft(1L, _level + {k})") for k in (0, 1)]
+    rows = rows.withColumns({f"_mask{k}": n - 1 for k, n in enumerate(lots)})
+    drawn = lambda mask: F.filter("_kept", lambda t: _draw(t, mask) < SUBSETS)
+    rows = rows.withColumns({f"_drawn{k}": drawn(F.col(f"_mask{k}")) for k in (0, 1)})
 
-    def hashes(level: Column) -> Column:
-        dense = F.pow(F.lit(2.0), level).cast("long")
+    def hashes(k: int) -> Column:
+        mask = F.col(f"_mask{k}")
 
-        def subset(k: Column) -> Column:
-            mine = F.filter("_kept", lambda t: F.pmod(F.xxhash64(t, k), dense) == 0)
-            return F.when(F.size(mine) == 0, F.lit(NONE)).otherwise(F.hex(F.xxhash64(mine)))
+        def subset(number: Column) -> Column:
+            mine = F.when(mask + 1 >= SUBSETS, F.filter(f"_drawn{k}", lambda t: _draw(t, mask) == number)).otherwise(
+                F.filter("_kept", lambda t: F.xxhash64(t, number).bitwiseAND(mask) == 0))
+            return F.transform(F.array(mine), lambda m: F.when(F.size(m) == 0, F.lit(NONE)).otherwise(F.hex(F.xxhash64(m))))
 
-        return F.struct(level.alias("level"), F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), subset).alias("hashes"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long"))
+        return F.struct((F.col("_level") + k).alias("level"), F.flatten(F.transform(numbers, subset)).alias("hashes"))
 
     # a text without any term has only itself to be known by
     alone = F.array(F.struct(F.lit(-1).alias("level"), F.array(F.sha2(F.col(text), 256)).alias("hashes")))
-    both = F.array(hashes(F.col("_level")), hashes(F.col("_level") + 1))
-    return rows.withColumn(name, F.when(F.size("_kept") == 0, alone).otherwise(both)).drop("_kept", "_level")
+    both = F.when(F.size("_kept") == 0, alone).otherwise(F.array(hashes(0), hashes(1)))
+    return rows.withColumn(name, both).drop("_kept", "_level", "_mask0", "_mask1", "_drawn0", "_drawn1")
 
 
 def as_text(prints: Column) -> Column:
@@ -117,8 +139,8 @@ def _bucket(order: Column, bounds: Column) -> Column:
 
 
 def with_next(rows: DataFrame, prints_of, buckets: int) -> DataFrame:
-    """rows (doc_id, text, prints) with next_text and next_prints, those of the row after it by doc_id and text; after the
-    last comes the first. prints_of gives prints to rows of doc_id and text.
+    """rows (doc_id, text) with their prints and next_text and next_prints, those of the row after it by doc_id and text;
+    after the last comes the first. prints_of gives prints to rows that have text; only texts are moved, not prints.
 
     Rows are cut into buckets of doc_id at quantiles; each row finds its successor inside its bucket, and a bucket's
     last row takes the first row of the bucket after it. Only one slim row per bucket meets in one task."""
@@ -137,7 +159,7 @@ def with_next(rows: DataFrame, prints_of, buckets: int) -> DataFrame:
     heads = prints_of(heads.withColumnRenamed("_bucket", "_after")).select("_after", F.struct("text", "prints").alias("_head"))
     heads = after.join(heads, "_after").select("_bucket", "_head")
     inside = Window.partitionBy("_bucket").orderBy(*order)
-    led = placed.withColumn("_next", F.lead(F.struct("text", "prints")).over(inside))
+    led = prints_of(placed.repartition("_bucket")).withColumn("_next", F.lead(F.struct("text", "prints")).over(inside))
     return (led.join(heads, "_bucket", "left").withColumn("_next", F.coalesce("_next", "_head"))
             .select("doc_id", "text", "prints", F.col("_next.text").alias("next_text"), F.col("_next.prints").alias("next_prints")))
 
@@ -152,7 +174,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     book = lexicon(rows, low, high)
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints_of = lambda part: with_prints(part, book, "text", "prints")
-    rows = with_next(prints_of(rows), prints_of, buckets)
+    rows = with_next(rows, prints_of, buckets)
     cut = F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 4)))"), F.substring(F.col("next_text"), F.lit(1), cut)))
     rows = with_prints(rows, book, "edited", "edited_prints")
