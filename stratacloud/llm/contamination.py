@@ -10,6 +10,10 @@ around them, so a passage and its source choose the same places. An item gives a
 inside it; a document gives one for every anchor it has. Where keys meet, the item-sized window that puts the two
 anchors over each other, widened by the edits allowed, goes to an exact edit distance (item against the best substring).
 
+Items with few anchors (short ones, and texts without blanks) are looked for by pieces as well: an item cut into one
+piece more than the edits expected keeps one of them unchanged, so every place of a document where eight bytes of a
+piece stand is a candidate too. That route is exact up to those edits.
+
 Characters are compared in lower case, any white space as a blank; everything runs inside one scan of the documents.
 """
 
@@ -29,14 +33,16 @@ STEPS = 72              # of a walk: some 36 bytes of text
 SAMPLES = 10            # steps a key holds
 HALF_WAY = 6            # samples after which a walk is given up if no item's walk has its half key
 AROUND = 1              # an anchor's hash is smallest among the words up to so many before and after
-MIN_BYTES = 48          # items shorter than this are not looked for: common phrases would match them
+MIN_BYTES = 48          # items shorter than this match with the edits expected only: common phrases would match them
+ENOUGH = 12             # anchors; items with fewer are looked for by pieces as well
+PIECE = 8               # bytes of a piece that are looked up
 ITEMS_AT_ONCE = 20_000  # items held by a task; more are searched in further scans
 BYTES_AT_ONCE = 64 << 20
 
 
 def repetitions(recall: float, rate: float) -> int:
     """Repetitions that reach recall for the shortest items, with rate edits per byte: a walk reads STEPS / 2 bytes, an
-    edit makes about three of its steps differ, and an item of MIN_BYTES has two anchors that fit."""
+    edit makes about three of its steps differ, and two anchors of an item count; ENOUGH are there."""
     agree = max(0.0, 1 - 3 * rate / 2) ** SAMPLES
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - max(agree, 1e-3)) / 2))
 
@@ -132,10 +138,57 @@ def pairs_of_bytes(data: np.ndarray) -> np.ndarray:
     return np.bincount(data[:-1].astype(np.int64) << 8 | data[1:], minlength=1 << 16)
 
 
+def windows(data: np.ndarray, width: int) -> np.ndarray:
+    """The width (at most 8) bytes from each place on as one number, beyond the end as zeros."""
+    padded = np.append(data, np.zeros(width, np.uint8))
+    out = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        out |= padded[k:k + len(data)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+class _Pieces:
+    """Pieces of items, by the width of what is looked up of them."""
+
+    def __init__(self, texts: list[np.ndarray], wanted: np.ndarray, edits: float):
+        rows: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        for item in np.flatnonzero(wanted).tolist():
+            text = texts[item]
+            cuts = np.linspace(0, len(text), int(edits * len(text)) + 2).astype(int).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                width = min(PIECE, b - a)
+                head, tail = (int.from_bytes(text[x:x + width].tobytes(), "little") for x in (a, b - width))
+                rows.setdefault(width, []).append((head, tail, item, a, b - a))
+        self.tables = {}
+        for width, held in rows.items():
+            held.sort()
+            head, tail, item, shift, length = zip(*held, strict=True)
+            head, early = np.asarray(head, np.uint64), np.zeros(1 << 20, bool)
+            early[mix(head) & np.uint64(len(early) - 1)] = True
+            self.tables[width] = head, np.asarray(tail, np.uint64), *(np.asarray(c, np.int64) for c in (item, shift, length)), early
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Rows (text, item, place in data where the item would begin)."""
+        found = []
+        for width, (head, tail, item, shift, length, early) in self.tables.items():
+            keys = windows(data, width)
+            starts = np.flatnonzero(early[mix(keys) & np.uint64(len(early) - 1)])
+            low, high = np.searchsorted(head, keys[starts], "left"), np.searchsorted(head, keys[starts], "right")
+            times = high - low
+            place = np.repeat(starts, times)
+            slot = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            text = np.searchsorted(offsets, place, "right") - 1
+            inside = place + length[slot] <= offsets[text + 1]
+            place, slot, text = place[inside], slot[inside], text[inside]
+            same = keys[place + length[slot] - width] == tail[slot]
+            found.append(np.stack([text[same], item[slot][same], (place - shift[slot])[same]], axis=1))
+        return found
+
+
 class _Items:
     """The benchmark items one task looks for, with their keys."""
 
-    def __init__(self, items: list[tuple[int, str]], walks: Walks):
+    def __init__(self, items: list[tuple[int, str]], walks: Walks, rate: float, edits: float):
         self.ids = [i for i, _ in items]
         self.texts = [plain(np.frombuffer((t or "").encode(), np.uint8)) for _, t in items]
         self.pairs = [(p := np.flatnonzero(c := pairs_of_bytes(t)), c[p]) for t in self.texts]
@@ -144,21 +197,26 @@ class _Items:
         starts = anchors(data, offsets, whole=True)
         item = np.searchsorted(offsets, starts, "right") - 1
         padded = np.append(data, np.full(STEPS + 1, 32, np.uint8))
-        self.tables, self.early = [], []
+        self.most = [int((rate if len(t) >= MIN_BYTES else edits) * len(t)) for t in self.texts]
+        self.slack = np.asarray([16 if len(t) >= MIN_BYTES else 0 for t in self.texts], np.int64)
+        self.tables, self.early, kept = [], [], np.zeros(len(items), np.int64)
         for r in range(len(walks.steps)):
             keys, ends, _, half = walks.keys(padded, starts, r)
             inside = ends <= offsets[item + 1]
+            kept = np.maximum(kept, np.bincount(item[inside], minlength=len(items)))
             order = np.argsort(keys[inside], kind="stable")
             self.tables.append((keys[inside][order], item[inside][order], (starts - offsets[item])[inside][order]))
             early = np.zeros(1 << 20, bool)
             early[half[inside] & np.uint64(len(early) - 1)] = True
             self.early.append(early)
+        filled = np.asarray([bool((t != 32).any()) for t in self.texts], bool)
+        self.pieces = _Pieces(self.texts, filled & (kept < ENOUGH), edits)
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray, walks: Walks) -> np.ndarray:
-        """Rows (text, item, place in data where the item would begin), distinct places in steps of 16 bytes."""
+        """Rows (text, item, place in data where the item would begin), distinct places, for long items in steps of 16 bytes."""
         starts = anchors(data, offsets, whole=False)
         padded = np.append(data, np.full(STEPS + 1, 32, np.uint8))
-        found = []
+        found = self.pieces.candidates(data, offsets)
         for r, (table, item, shift) in enumerate(self.tables):
             keys, _, rows, _ = walks.keys(padded, starts, r, self.early[r])
             low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
@@ -169,26 +227,27 @@ class _Items:
         rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         if not len(rows):
             return rows
-        _, first = np.unique(np.column_stack([rows[:, :2], rows[:, 2] // 16]), axis=0, return_index=True)
+        _, first = np.unique(np.column_stack([rows[:, :2], rows[:, 2] // np.maximum(self.slack[rows[:, 1]], 1)]), axis=0, return_index=True)
         return rows[first]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, rate: float = 0.2, recall: float = 0.99,
                        edits: float = 0.08) -> DataFrame:
-    """Passages of docs (doc_id, text) within edit distance rate * length of an item of items (item_id, text). Passages
-    with edits edits per byte are found with odds of recall at least; more edits lower the odds, fewer raise them.
+    """Passages of docs (doc_id, text) within edit distance rate * length of an item of items (item_id, text); of an item
+    under MIN_BYTES bytes within edits * length, and if that is no edit at all, copies that no letter or digit adjoins.
+    Passages with edits edits per byte are found with odds of recall at least, in items with fewer than ENOUGH anchors
+    always; more edits lower the odds, fewer raise them.
 
     One row per document row, item and place: doc_id, item_id, start, end (code points of the text, end exclusive),
     distance (bytes), similarity (1 - distance / item's bytes). Matches of one item that overlap give the best, then
-    the first. Null or empty texts and items, and items under MIN_BYTES bytes, match nothing; items with the same text
-    all match; repeated document rows each give their rows. Other columns are ignored.
+    the first. Null, empty or blank texts and items match nothing; items with the same text all match; repeated document rows each give their rows. Other columns are ignored.
     """
-    held = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(f"octet_length(text) >= {MIN_BYTES}")
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("octet_length(text) > 0")
     walks = Walks(repetitions(recall, edits))
     out = None
     for block in _blocks(held):
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _search(block, walks, rate), "doc_id long, item_id long, start long, end long, distance long, similarity double")
+            _search(block, walks, rate, edits), "doc_id long, item_id long, start long, end long, distance long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -206,12 +265,18 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _search(block: list[tuple[int, str]], walks: Walks, rate: float):
+def _adjoined(data: np.ndarray, first: int, last: int, a: int, b: int) -> bool:
+    """Whether a letter or digit of the text data[first:last] stands right before a or right after b."""
+    beside = [data[x] for x in (a - 1, b) if first <= x < last]
+    return any(x >= 128 or chr(x).isalnum() for x in beside)
+
+
+def _search(block: list[tuple[int, str]], walks: Walks, rate: float, edits: float):
     names = ["doc_id", "item_id", "start", "end", "distance", "similarity"]
     types = [*[pa.int64()] * 5, pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _Items(block, walks)
+        items = _Items(block, walks, rate, edits)
         for batch in slices(batches):
             data, offsets = text_bytes(batch)
             data = plain(data)
@@ -219,11 +284,12 @@ def _search(block: list[tuple[int, str]], walks: Walks, rate: float):
             hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
             for text, item, place in items.candidates(data, offsets, walks).tolist():
                 wanted = items.texts[item]
-                most = int(rate * len(wanted))
-                first = max(int(offsets[text]), place - most - 16)
-                last = min(int(offsets[text + 1]), place + len(wanted) + most + 32)
+                most, slack = items.most[item], int(items.slack[item])
+                begin, stop = int(offsets[text]), int(offsets[text + 1])
+                first, last = max(begin, place - most - slack), min(stop, place + len(wanted) + most + 2 * slack)
                 known = hits.setdefault((text, item), [])
-                if any(a <= place + 16 and place < b for _, a, b in known):
+                # nothing that overlaps a copy without edits is better
+                if any(d == 0 and x <= place + slack and place < y for d, x, y in known):
                     continue
                 # an edit changes two pairs of bytes at most, so a match keeps all but 2 * most of the item's
                 codes, counts = items.pairs[item]
@@ -231,7 +297,7 @@ def _search(block: list[tuple[int, str]], walks: Walks, rate: float):
                     continue
                 window = data[first:last].tobytes()
                 distance, end = best_match(wanted.tobytes(), window)
-                if distance <= most:
+                if distance <= most and (most or not _adjoined(data, begin, stop, first + end - len(wanted), first + end)):
                     # where it begins: the same search from the end backwards
                     _, back = best_match(wanted.tobytes()[::-1], window[:end][::-1])
                     known.append((distance, first + end - back, first + end))

@@ -173,3 +173,52 @@ def test_misspelt_words_score_like_their_model():
     odds = model.scale * found + model.bias
     assert odds[0] > 0 > odds[1] and odds[2] == odds[3]
     assert toxicity.fit(["a"], [1]).bias > 0 > toxicity.fit([], []).bias
+
+
+def _edited(random_, text, edits, letters):
+    out = list(text)
+    for _ in range(edits):
+        at = random_.randrange(len(out))
+        kind = random_.choice("sdi")
+        if kind == "d":
+            del out[at]
+        else:
+            out[at:at + (kind == "s")] = random_.choice(letters)
+    return "".join(out)
+
+
+def _contaminated(items, docs, rate=0.2, edits=0.08):
+    """Rows (doc_id, item_id, start, end, distance) of the search, with ids in the order of the lists."""
+    walks = contamination.Walks(contamination.repetitions(0.99, edits))
+    batch = pa.record_batch({"doc_id": pa.array(range(len(docs)), pa.int64()), "text": pa.array(docs, pa.string())})
+    out = contamination._search(list(enumerate(items)), walks, rate, edits)(iter([batch]))
+    return [tuple(r[c] for c in ("doc_id", "item_id", "start", "end", "distance")) for b in out for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("blanks", [True, False])
+def test_contamination_finds_items_of_every_size_with_the_edits_expected(blanks):
+    random_ = random.Random(7 + blanks)
+    letters = "abcdefghijklmnopqrstuvwxyz" + "    " * blanks
+
+    def prose(size):
+        return "x" + "".join(random_.choice(letters) for _ in range(size - 2)) + "y"
+
+    sizes = [20, 24, 25, 32, 47, 48, 50, 60, 75, 100, 130, 180, 260, 300]
+    items = [prose(m) for m in sizes for _ in range(15)]
+    docs = [prose(400) + " " + _edited(random_, t, int(0.08 * len(t)), letters) + " " + prose(400) for t in items]
+    found = _contaminated(items, docs + [prose(2000) for _ in range(50)])
+    right = {(d, i) for d, i, *_ in found if d == i}
+    missed = [len(items[i]) for i in range(len(items)) if (i, i) not in right]
+    assert len(missed) <= 0.01 * len(items) and all(m >= 130 for m in missed), missed
+    assert {(d, i) for d, i, *_ in found} == right
+    for d, i, start, end, distance in found:
+        assert contamination.best_match(items[i].encode(), docs[d][start:end].encode())[0] == distance
+
+
+def test_contamination_of_short_items():
+    docs = ["Paris, in FRANCE.", "parisian", "a paris", "comparis", "paris" * 3, "é paris é", "é-parisé", None, "", "  "]
+    assert [r[0] for r in _contaminated(["paris"], docs)] == [0, 2, 5]
+    assert _contaminated(["", " ", "\t", None], docs) == []
+    # repeated in one text: each place is a row, code points count
+    assert [r[2:] for r in _contaminated(["paris"], ["é paris paris ü paris"])] == [(2, 7, 0), (8, 13, 0), (16, 21, 0)]
+    assert [r[2:4] for r in _contaminated(["東京都に住んでいる人の数は何人ですか"], ["それは東京都に住んでいる人の数は何人ですかと"])] == [(3, 21)]
