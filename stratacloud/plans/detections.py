@@ -150,7 +150,7 @@ def h14(spark, sf):
 
 def _target(spark, sf):
     """Triangulated corners of target tags: a 35 mm square per (setup, pair, tag), each corner pushed by the detection."""
-    seen = b.detections(spark, sf).where("tag < 9").groupBy(F.col("channel").alias("setup"), F.col("image").alias("pair"), "tag").agg(
+    seen = b.detections(spark, sf).groupBy(F.col("channel").alias("setup"), F.col("image").alias("pair"), "tag").agg(
         F.avg("u").alias("u"), F.avg("v").alias("v"))
     corners = F.array(*[F.struct(F.lit(k).alias("corner"), F.lit(x).alias("cx"), F.lit(y).alias("cy")) for k, (x, y) in enumerate(((SIZE, 0.0), (0.0, 0.0), (0.0, SIZE), (SIZE, SIZE)))])
     return seen.withColumn("_c", F.explode(corners)).select(
@@ -245,7 +245,7 @@ g AS (SELECT camera, image, count(*) AS u, count(*) FILTER (WHERE c = 3) AS a, c
 ag AS (SELECT camera, image, coalesce(a, 0) AS found_by_all, coalesce(u - a, 0) AS found_by_some, coalesce(added, 0) AS added, 70 - coalesce(u, 0) AS found_by_none,
   coalesce(u - a, 0) AS disagreement FROM (SELECT DISTINCT camera, image FROM detections) LEFT JOIN g USING (camera, image))
 """
-_TARGET = """, s AS (SELECT channel AS setup, image AS pair, tag, avg(u) AS u, avg(v) AS v FROM detections WHERE tag < 9 GROUP BY ALL),
+_TARGET = """, s AS (SELECT channel AS setup, image AS pair, tag, avg(u) AS u, avg(v) AS v FROM detections GROUP BY ALL),
 k AS (SELECT unnest([0, 1, 2, 3]) AS c, unnest([35e0, 0e0, 0e0, 35e0]) AS kx, unnest([0e0, 0e0, 35e0, 35e0]) AS ky),
 co AS (SELECT setup, pair, tag, u, v + 200 AS dist, c, kx * (1 + u / 40000) + c / 10 AS x, ky * (1 + v / 30000) AS y, c * 0.2e0 AS z FROM s, k),
 ed AS (SELECT a.setup, a.pair, a.tag, a.u, a.dist, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) - 35 AS e FROM co a JOIN co b

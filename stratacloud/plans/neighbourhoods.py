@@ -61,8 +61,7 @@ def e4(spark, sf):
 
 
 def e5(spark, sf):
-    raised = b.points(spark, sf).where("z > 3")
-    return n.density_clusters(raised, 1.6, 5, ["scan"]).groupBy("scan", "cluster").agg(F.count("*").alias("points"))
+    return n.density_clusters(b.points(spark, sf), 1.6, 5, ["scan"]).groupBy("scan", "cluster").agg(F.count("*").alias("points"))
 
 
 def e5_object(spark, sf):
@@ -97,7 +96,7 @@ def e10(spark, sf):
 
 def _verdicts(spark, sf):
     sparse, dense = _split(spark, sf)
-    return n.cross_check(sparse.where("grey > 60"), dense, ["scan"], 1.2, 5, 2.0)
+    return n.cross_check(sparse, dense, ["scan"], 1.2, 5, 2.0)
 
 
 def e11(spark, sf):
@@ -194,7 +193,7 @@ dist AS (SELECT scan, x, y, z, tri, h, least(
   pow(x-cx-t3*(ax-cx), 2) + pow(y-cy-t3*(ay-cy), 2) + pow(z-cz-t3*(az-cz), 2)) AS d2 FROM ft),
 near AS (SELECT scan, x, y, z, sqrt(min(d2)) AS distance, arg_min(h, d2) AS h FROM dist GROUP BY scan, x, y, z)
 """
-_CHECK = """, dense AS (SELECT * FROM points WHERE method = 'O'), sparse AS (SELECT * FROM points WHERE method = 'F' AND grey > 60),
+_CHECK = """, dense AS (SELECT * FROM points WHERE method = 'O'), sparse AS (SELECT * FROM points WHERE method = 'F'),
 spot AS (SELECT DISTINCT scan, x, y FROM dense),
 sup AS (SELECT s.scan, s.x, s.y, count(*) AS support, quantile_cont(p.z, 0.5) AS m FROM spot s JOIN sparse p ON s.scan = p.scan
   AND p.x BETWEEN s.x - 1.2 AND s.x + 1.2 AND sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2)) <= 1.2 GROUP BY s.scan, s.x, s.y),

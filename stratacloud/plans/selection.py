@@ -123,7 +123,7 @@ def b11(spark, sf):
 
 
 def _members(spark, sf):
-    return b.detections(spark, sf).where("tag < 12").select("camera", "channel", "image")
+    return b.detections(spark, sf).select("camera", "channel", "image")
 
 
 def b12(spark, sf):
@@ -348,7 +348,7 @@ ORACLES = {
         greatest(x.cam || '/' || a.name, y.cam || '/' || o.name) AS second
         FROM r a JOIN r o ON a.recording = o.recording AND o.rn BETWEEN a.rn AND a.rn + 2, c x, c y
         WHERE x.cam || '/' || a.name <> y.cam || '/' || o.name"""),
-    "b12_figure_frame": sql("detections", body=""", m AS (SELECT camera, channel, image FROM detections WHERE tag < 12),
+    "b12_figure_frame": sql("detections", body=""", m AS (SELECT camera, channel, image FROM detections),
         c AS (SELECT camera, image, row_number() OVER (PARTITION BY camera ORDER BY image) - 1 AS rn, count(*) OVER (PARTITION BY camera) AS n
           FROM m JOIN (SELECT camera, count(DISTINCT channel) AS need FROM m GROUP BY camera) USING (camera)
           GROUP BY camera, image, need HAVING count(DISTINCT channel) = need)
