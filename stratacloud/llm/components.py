@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacloud.llm.common import written
+from stratacloud.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,14 +22,17 @@ def components(links: DataFrame) -> DataFrame:
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
                        .select("node", F.least("node", "near").alias("to")), "names")
+        stale = [left]
         if names is None:
             names = step.select("node", F.col("to").alias("label"))
         else:
+            stale += [names, step]
             names = written(names.join(step.withColumnRenamed("node", "label"), "label", "left")
                             .select("node", F.coalesce("to", "label").alias("label")), "labels")
         one, two = step.toDF("a", "ta"), step.toDF("b", "tb")
         left = written(left.join(one, "a").join(two, "b")
                        .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
                        .filter("a != b").distinct(), "links")
+        discard(*stale)
         if left.isEmpty():
             return names

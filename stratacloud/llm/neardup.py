@@ -7,8 +7,9 @@ collisions thins them, and full shingle sets confirm every link.
    smallest node, first inside a batch and then across batches, so a key shared by a third of all nodes sends one row
    per batch. Two sets at similarity 0.75 share no key with odds of 5 in a million.
 3. Chains give loose clusters, which hold every true link. A passage that many texts share makes them very large, so
-   they are taken apart by their full sets: with a cluster's shingles in one order, rarest first, two linked sets share
-   one among the first n - ceil(0.75 n) + 1 of each. Only sets that share such a shingle stay chained.
+   they are taken apart by their full sets: with all shingles in one order, rarest first, two linked sets share one
+   among the first n - ceil(0.75 n) + 1 of each. Only sets that share such a shingle stay chained. How rare a shingle is
+   tells a table of counters; shingles that meet in a counter pass for commoner, which moves work but loses no link.
 4. What is left is cut into blocks of bounded size. Inside a block, sets in different components are compared: first
    sizes, then how many of their shingles any other set has, then signatures, then the sets. For clusters of several
    blocks, one hub per block then meets all blocks, and what still stands apart from a cluster's main component meets
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacloud.llm.common import mix, shingle_sets, slices, text_bytes, written
+from stratacloud.llm.common import discard, mix, shingle_sets, slices, text_bytes, written
 from stratacloud.llm.components import components
 
 REGISTERS, BAND = 128, 4
 MANTISSA = 10
 BLOCK_SHINGLES = 4_000_000      # of a block that one task verifies: 32 MB of hashes
+SLOT_BITS = 24                  # counters of shingles, whatever the number of documents: 16 MB where tasks read them
 SIGMAS = 4.5                    # the estimate may be so many standard deviations below the threshold
 
 
@@ -191,21 +193,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, block_shi
                     .agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("n_shingles").alias("n"),
                          F.first("signature").alias("signature")), "nodes")
     loose = components(_chains(nodes)).withColumnRenamed("label", "cluster")
-    loose = written(loose.join(nodes, "node").select("node", "tkey", "n", "signature", "cluster"), "members")
-    loose = written(loose.join(_sets(docs, loose, size), "node").withColumn("id", F.xxhash64("node")), "member-sets")
+    members = written(loose.join(nodes, "node").select("node", "tkey", "n", "signature", "cluster"), "members")
+    loose = written(members.join(_sets(docs, members, size), "node").withColumn("id", F.xxhash64("node")), "member-sets")
+    discard(members)
     clusters = components(_rare_chains(loose, percent)).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
     members = loose.select("id", "n").join(clusters, "id")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).alias("blocks"))
     full = (loose.drop("cluster").join(clusters, "id").join(sizes, "cluster")
             .withColumn("block", F.pmod(F.col("id"), F.col("blocks"))))
     full = written(full.select("node", "n", "signature", "shingles", "cluster", "blocks", "block"), "clustered-sets")
+    discard(loose)
 
     schema = "a binary, b binary"
     alone = full.select("node", F.col("node").alias("label"), F.lit(0).alias("side"), "n", "signature", "shingles", "cluster", "block")
     links = written(alone.groupBy("cluster", "block").applyInPandas(_confirm(percent), schema), "confirmed")
     labels = components(links)
-    if not sizes.filter("blocks > 1").isEmpty():
+    if not full.filter("blocks > 1").isEmpty():
         links, labels = _between_blocks(full.filter("blocks > 1"), links, labels, percent)
+    discard(full, links)
     named = (nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("node", "component_id")
@@ -230,25 +235,73 @@ def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "node binary, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """Per counter a level that grows with the number of shingles it counted, copies included: 1 for a single one.
+
+    A task counts its sets and sends the counters it used in blocks of 4096; a block gets at most 16 kB of each task.
+    The table has one fixed size, so it may pass through the driver."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            np.add.at(counters, _slots(batch.column("shingles").flatten().to_numpy()), np.uint32(1))
+        used = np.flatnonzero(counters)
+        blocks, first = np.unique(used >> 12, return_index=True)
+        places = np.split((used & 4095).astype(np.uint16), first[1:])
+        numbers = np.split(np.minimum(counters[used], 65535).astype(np.uint16), first[1:])
+        if len(blocks):
+            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array([v.tobytes() for v in places], pa.binary()),
+                                   pa.array([v.tobytes() for v in numbers], pa.binary())], names=["slots", "places", "numbers"])
+
+    def add(block: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(4096, np.int64)
+        for places, numbers in zip(block["places"], block["numbers"], strict=True):
+            total[np.frombuffer(places, np.uint16)] += np.frombuffer(numbers, np.uint16)
+        levels = 1 + np.round(4 * np.log2(np.maximum(total, 1)))
+        return pd.DataFrame({"slots": block["slots"].iloc[:1], "levels": [levels.astype(np.uint8).tobytes()]})
+
+    parts = sets.select("shingles").mapInArrow(count, "slots long, places binary, numbers binary")
+    blocks = written(parts.groupBy("slots").applyInPandas(add, "slots long, levels binary"), "shingle-levels")
+    table = np.ones(1 << SLOT_BITS, np.uint8)
+    for row in blocks.toLocalIterator():
+        table[row["slots"] << 12:(row["slots"] + 1) << 12] = np.frombuffer(row["levels"], np.uint8)
+    discard(blocks)
+    return table
+
+
 def _rare_chains(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that chain all ids of one cluster that share a shingle among the first of both, rarest first.
 
-    sets: id, n, cluster, shingles. Any order would do; the rarest come first because few sets share them. Shingles that
-    very many sets have meet their counts in joins of written tables, which adaptive execution splits."""
-    rows = sets.select("id", "n", F.explode("shingles").alias("shingle"), "cluster")
-    rows = rows.select("id", "n", F.xxhash64("cluster", "shingle").alias("key"))
-    counts = written(rows.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"), "shingle-counts")
-    shared = rows.join(counts, "key").groupBy("id").agg(
-        F.first("n").alias("n"), F.collect_list(F.struct("held", "key")).alias("shared"))
-    # shingles of one set alone are rarer than all of these and take their places
-    least = F.floor((F.col("n") * percent + 99) / 100)
-    places = (F.col("n") - least + 1 - (F.col("n") - F.size("shared"))).cast("int")
-    keys = shared.withColumn("places", places).filter("places > 0").select(
-        "id", F.explode(F.slice(F.sort_array("shared"), F.lit(1), F.col("places")).getField("key")).alias("key"))
-    keys = written(keys, "rare-shingles")
+    sets: id, n, cluster, shingles (ascending as unsigned hashes). Any one order would do; the rarest come first because
+    few sets share them. Only a set's first shingles are sent, and of these not the ones it has alone."""
+    levels = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("shingles")
+            sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
+            shingles, owner = column.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            level = levels.value[_slots(shingles)]
+            order = np.argsort(owner << 8 | level, kind="stable")       # equal levels keep the order of their hashes
+            places = sizes - (sizes * percent + 99) // 100 + 1
+            rank = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            take = order[(rank < places[owner]) & (level[order] > 1)]
+            near = batch.column("near").to_numpy().view(np.uint64)[owner[take]]
+            keys = mix(shingles[take].view(np.uint64) ^ mix(near))
+            yield pa.record_batch([pa.array(batch.column("id").to_numpy()[owner[take]]), pa.array(keys.view(np.int64))],
+                                  names=["id", "key"])
+
+    keys = written(sets.select("id", F.xxhash64("cluster").alias("near"), "shingles").mapInArrow(first, "id long, key long"), "rare-shingles")
+    levels.unpersist()
+    # partial minima by key, then a join of written tables, which adaptive execution splits where many sets share a key
     centres = written(keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("last")).filter("b != last")
                       .select("key", "b"), "centres")
-    return keys.join(centres, "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
+    links = written(keys.join(centres, "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct(), "rare-links")
+    discard(keys, centres)
+    return links
 
 
 def _between_blocks(full: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
