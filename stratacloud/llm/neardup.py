@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacloud.llm.common import discard, mix, shingle_sets, slices, text_bytes, written
@@ -34,6 +34,7 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 BLOCK_SHINGLES = 4_000_000      # of a block that one task verifies: 32 MB of hashes
 SLOT_BITS = 24                  # counters of shingles, whatever the number of documents: 16 MB where tasks read them
+MARK_BITS = 27                  # of the bitmap that picks the rows to make sets of: 16 MB likewise
 SIGMAS = 4.5                    # the estimate may be so many standard deviations below the threshold
 
 
@@ -99,6 +100,11 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             .mapInArrow(run, "doc_id long, tkey long, n_shingles long, node binary, signature binary"))
 
 
+def _mark(doc_id: Column, tkey: Column) -> Column:
+    """Hash of a row's id and text; the smallest of a node names the one row its set is made of."""
+    return F.xxhash64(doc_id, tkey)
+
+
 def _node(hashes: np.ndarray) -> bytes | None:
     """128 bits that name a set."""
     if not len(hashes):
@@ -190,10 +196,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, block_shi
     """
     sketches = written(_sketches(docs, size), "sketches")
     nodes = written(sketches.filter("node IS NOT NULL").groupBy("node")
-                    .agg(F.min("doc_id").alias("doc_id"), F.min("tkey").alias("tkey"), F.first("n_shingles").alias("n"),
+                    .agg(F.min("doc_id").alias("doc_id"), F.min(_mark(F.col("doc_id"), F.col("tkey"))).alias("mark"), F.first("n_shingles").alias("n"),
                          F.first("signature").alias("signature")), "nodes")
     loose = components(_chains(nodes)).withColumnRenamed("label", "cluster")
-    members = written(loose.join(nodes, "node").select("node", "tkey", "n", "signature", "cluster"), "members")
+    members = written(loose.join(nodes, "node").select("node", "mark", "n", "signature", "cluster"), "members")
     loose = written(members.join(_sets(docs, members, size), "node").withColumn("id", F.xxhash64("node")), "member-sets")
     discard(members)
     clusters = components(_rare_chains(loose, percent)).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
@@ -220,19 +226,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, block_shi
     return out.select("doc_id", "tkey", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+def _marked_rows(members: DataFrame) -> np.ndarray:
+    """A bitmap over the marks of the members' rows, of one fixed size, so it may pass through the driver."""
+    place = F.shiftrightunsigned("mark", 64 - MARK_BITS)
+    blocks = written(members.select(F.shiftright(place, 15).alias("block"), F.pmod(place, F.lit(1 << 15)).alias("bit"))
+                     .groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), "member-marks")
+    table = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for row in blocks.toLocalIterator():
+        table[row["block"] << 12:(row["block"] + 1) << 12] = np.frombuffer(row["bits"], np.uint8)
+    discard(blocks)
+    return table
+
+
 def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """The full sets of the members' nodes, made again from one text each: node, shingles."""
+    """The full sets of the members' nodes (and of few others, whose marks share a bit with a member's), made again from
+    one row each: node, shingles. Rows are picked where they are read, so no text is shuffled."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marked_rows(members))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = shingle_sets(*text_bytes(batch), size)
-            bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            shingles = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), shingles], names=["node", "shingles"])
-
-    wanted = members.select("tkey").distinct()
-    rows = docs.select("text", F.xxhash64("text").alias("tkey")).join(wanted, "tkey", "left_semi")
-    # copies of a text have one key: combined to one set per node before they are shuffled
-    return rows.mapInArrow(run, "node binary, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        for whole in batches:
+            place = whole.column("mark").to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            wanted = (marks.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            for batch in slices(iter([whole.filter(pa.array(wanted == 1))])):
+                sets = shingle_sets(*text_bytes(batch), size)
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.record_batch([pa.array([_node(s) for s in sets], pa.binary()), shingles], names=["node", "shingles"])
+
+    rows = docs.select("text", _mark(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("mark"))
+    # rows that repeat an id and a text have one mark: combined to one set per node
+    return (rows.mapInArrow(run, "node binary, shingles array<bigint>").filter("node IS NOT NULL")
+            .groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
