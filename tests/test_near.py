@@ -211,3 +211,26 @@ def test_map_matched(spark):
     share = got.dropna(subset=["matched"]).groupby("frame")["matched"].mean()
     assert share[0] == 1 and share[1] == 1 and share[4] == 1
     assert got[got.frame == 3]["matched"].isna().all()
+
+
+def shuffled(spark):
+    """Bytes this session has shuffled so far."""
+    summaries = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(summaries.apply(i).totalShuffleWrite() for i in range(summaries.size()))
+
+
+def test_nearest_moves_no_row_per_pair(spark):
+    """30 neighbours each: candidates meet as arrays, so bytes moved stay near those of the points and not of the pairs."""
+    rng = np.random.default_rng(11)
+    points = frame(spark, rng.uniform(0, 20, (8000, 3))).repartition(4).cache()
+    assert points.count() == 8000
+    start = shuffled(spark)
+    assert n.estimate_normals(points, 5.0, 30, ["k"]).count() == 8000
+    assert shuffled(spark) - start < 8000 * 400
+
+
+def test_ties_take_the_smaller_coordinates(spark):
+    right = [(1.0, 0, 0), (-1.0, 0, 0), (0, 1.0, 0), (0, -1.0, 0), (0, 0, 1.0), (0, 0, -1.0)]
+    for leaf in (512, 2):
+        got = near.nearest(frame(spark, [(0.0, 0.0, 0.0)]), frame(spark, right), ["k"], XYZ, 2, leaf=leaf).collect()
+        assert sorted((r["n_x"], r["n_y"], r["n_z"]) for r in got) == [(-1.0, 0.0, 0.0), (0.0, -1.0, 0.0)]
