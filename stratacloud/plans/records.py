@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratacloud.functions.columns import quantise
 from stratacloud.operators import scoring as s
@@ -41,24 +39,29 @@ def a3(spark, sf):
 
 def _ply(spark, sf):
     """Small PLY files built from the points: one per frame and chunk."""
-    @F.pandas_udf(T.BinaryType())
-    def encode(rows: pd.Series) -> pd.Series:
+    def encode(batches):
+        import pyarrow as pa
+
         dtype = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("grey", "u1"), ("views", "<u2")])
-        out = []
-        for batch in rows:
-            v = np.zeros(len(batch), dtype)
-            for k, r in enumerate(batch):
-                v[k] = (r["x"], r["y"], r["z"], r["grey"], r["views"])
-            head = (f"ply\nformat binary_little_endian 1.0\nelement vertex {len(v)}\nproperty float x\nproperty float y\nproperty float z\n"
-                    "property uchar grey\nproperty ushort views\nend_header\n")
-            out.append(head.encode() + v.tobytes())
-        return pd.Series(out)
+        for batch in batches:
+            rows = batch.column("rows")
+            flat, ends = rows.flatten(), np.r_[0, np.cumsum(rows.value_lengths().to_numpy())]
+            v = np.zeros(len(flat), dtype)
+            for name in dtype.names:
+                v[name] = flat.field(name).to_numpy(zero_copy_only=False)
+            contents = []
+            for start, end in zip(ends[:-1], ends[1:]):
+                head = (f"ply\nformat binary_little_endian 1.0\nelement vertex {end - start}\nproperty float x\nproperty float y\nproperty float z\n"
+                        "property uchar grey\nproperty ushort views\nend_header\n")
+                contents.append(head.encode() + v[start:end].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(contents, pa.binary())], names=["path", "content"])
 
     points = b.table(spark, sf, "lineitem").selectExpr("l_suppkey AS frame", "l_partkey % 50 AS chunk", "l_orderkey AS o", "CAST(l_quantity AS FLOAT) AS x",
                                                        "CAST(l_extendedprice / 1000 AS FLOAT) AS y", "CAST(l_discount * 100 AS FLOAT) AS z",
                                                        "CAST(l_tax * 1000 AS INT) AS grey", "l_linenumber AS views")
     chunked = points.groupBy("frame", "chunk", (F.col("o") % 64).alias("slice")).agg(F.collect_list(F.struct("x", "y", "z", "grey", "views")).alias("rows"))
-    return chunked.select(F.concat_ws("/", F.lit("frames"), F.concat(F.col("frame"), F.lit("_"), F.col("chunk"), F.lit(".ply"))).alias("path"), encode("rows").alias("content"))
+    path = F.concat_ws("/", F.lit("frames"), F.concat(F.col("frame"), F.lit("_"), F.col("chunk"), F.lit(".ply")))
+    return chunked.select(path.alias("path"), "rows").mapInArrow(encode, "path string, content binary")
 
 
 def a4(spark, sf):

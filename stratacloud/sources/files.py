@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from stratacloud.functions.ordered import number_rows
 
 BATCH = 1 << 20     # points a decoding task hands on at a time
+TOGETHER = 1 << 16  # points of small files that are handed on together
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -67,13 +68,12 @@ PLY_TYPES = {"char": "<i1", "uchar": "<u1", "short": "<i2", "ushort": "<u2", "in
 CLOUD_SCHEMA = "path string, x double, y double, z double, grey double, views int"
 
 
-def _vertices(content: bytes):
+def _layout(header: bytes):
+    """The NumPy type of a PLY file's vertices and their number."""
     import numpy as np
 
-    end = content.index(b"end_header") + len(b"end_header")
-    end = content.index(b"\n", end - 1) + 1
     fields, count, counting = [], 0, False
-    header = content[:end].decode("ascii").split("\n")
+    header = header.decode("ascii").split("\n")
     if not any(line.startswith("format binary_little_endian") for line in header):
         raise ValueError("only binary little-endian PLY is read")
     for line in header:
@@ -83,39 +83,69 @@ def _vertices(content: bytes):
             count = int(words[2]) if counting else count
         elif words[:1] == ["property"] and counting:
             fields.append((words[2], PLY_TYPES[words[1]]))
-    return np.frombuffer(content, np.dtype(fields), count, end)
+    return np.dtype(fields), count
 
 
-def decode_clouds(files: DataFrame) -> DataFrame:
-    """Rows of binary PLY clouds and .npz frames in (path, content): positions in double, grey from grey or the mean of
-    red, green and blue (0 where neither is stored), views 1 where not stored."""
+def _vertices(content: bytes, layouts: dict):
+    """The vertices of a PLY file; layouts keeps the last headers read, as the files of a survey share them."""
+    import numpy as np
 
-    def decode(batches) -> Iterator:
-        import numpy as np
-        import pandas as pd
+    end = content.index(b"end_header") + len(b"end_header")
+    end = content.index(b"\n", end - 1) + 1
+    header = bytes(content[:end])
+    if header not in layouts:
+        if len(layouts) >= 256:
+            layouts.clear()
+        layouts[header] = _layout(header)
+    kind, count = layouts[header]
+    return np.frombuffer(content, kind, count, end)
 
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                if path.endswith(".npz"):
-                    with np.load(io.BytesIO(content)) as data:
-                        xyz, grey = data["xyz"].astype(float), data["grey"].astype(float)
-                    views = np.ones(len(xyz), np.int32)
+
+def _decoded(batches) -> Iterator:
+    """Rows of the files in batches of (path, content); small files leave together."""
+    import numpy as np
+    import pandas as pd
+
+    held, size, layouts = [], 0, {}
+
+    def handed():
+        lengths = [len(xyz) for _, xyz, _, _ in held]
+        xyz, grey, views = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+        return pd.DataFrame({"path": np.repeat(np.array([h[0] for h in held], object), lengths), "x": xyz[:, 0], "y": xyz[:, 1],
+                             "z": xyz[:, 2], "grey": grey, "views": views})
+
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            if path.endswith(".npz"):
+                with np.load(io.BytesIO(content)) as data:
+                    xyz, grey = data["xyz"].astype(float), data["grey"].astype(float)
+                views = np.ones(len(xyz), np.int32)
+            else:
+                v = _vertices(content, layouts)
+                xyz = np.stack([v[a].astype(float) for a in "xyz"], 1)
+                names = v.dtype.names
+                if "grey" in names:
+                    grey = v["grey"].astype(float)
+                elif "red" in names:
+                    grey = (v["red"].astype(float) + v["green"] + v["blue"]) / 3
                 else:
-                    v = _vertices(content)
-                    xyz = np.stack([v[a].astype(float) for a in "xyz"], 1)
-                    names = v.dtype.names
-                    if "grey" in names:
-                        grey = v["grey"].astype(float)
-                    elif "red" in names:
-                        grey = (v["red"].astype(float) + v["green"] + v["blue"]) / 3
-                    else:
-                        grey = np.zeros(len(v))
-                    views = v["views"].astype(np.int32) if "views" in names else np.ones(len(v), np.int32)
-                for at in range(0, len(xyz), BATCH):
-                    part = slice(at, at + BATCH)
-                    yield pd.DataFrame({"path": path, "x": xyz[part, 0], "y": xyz[part, 1], "z": xyz[part, 2], "grey": grey[part], "views": views[part]})
-
-    return files.select("path", "content").mapInPandas(decode, CLOUD_SCHEMA)
+                    grey = np.zeros(len(v))
+                views = v["views"].astype(np.int32) if "views" in names else np.ones(len(v), np.int32)
+            for at in range(0, len(xyz), BATCH):
+                part = slice(at, at + BATCH)
+                held.append((path, xyz[part], grey[part], views[part]))
+                size += len(xyz[part])
+                if size >= TOGETHER:
+                    yield handed()
+                    held, size = [], 0
+    if held:
+        yield handed()
+
+
+def decode_clouds(files: DataFrame) -> DataFrame:
+    """Rows of binary PLY clouds and .npz frames in (path, content): positions in double, grey from grey or the mean of
+    red, green and blue (0 where neither is stored), views 1 where not stored."""
+    return files.select("path", "content").mapInPandas(_decoded, CLOUD_SCHEMA)
 
 
 def read_clouds(spark: SparkSession, path: str) -> DataFrame:

@@ -122,3 +122,19 @@ def test_locate(spark):
     df = spark.createDataFrame([("/a/results/S/s20/dense/cloud.ply",), ("/a/results/analysis/x/y/z",), ("/a/results/S/summary.csv",), ("/a/other/S/s/m/f",)], "p string")
     got = [r["l"] for r in df.select(files.locate(df.p).alias("l")).collect()]
     assert (got[0]["session"], got[0]["scan"], got[0]["method"]) == ("S", "s20", "dense") and got[1:] == [None, None, None]
+
+
+def test_small_clouds_leave_together():
+    """Thousands of files of one vertex make few tables, not one each."""
+    import numpy as np
+    import pandas as pd
+
+    from stratacloud.sources import files
+
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    content = [head + np.array([k, 1, 2], "<f4").tobytes() for k in range(3000)]
+    given = pd.DataFrame({"path": [f"{k}.ply" for k in range(3000)], "content": content})
+    got = list(files._decoded(iter([given])))
+    assert len(got) == 1
+    assert (got[0]["x"] == np.arange(3000)).all() and list(got[0]["path"]) == list(given["path"])
+    assert (got[0]["views"] == 1).all() and (got[0]["grey"] == 0).all()
