@@ -234,3 +234,17 @@ def test_ties_take_the_smaller_coordinates(spark):
     for leaf in (512, 2):
         got = near.nearest(frame(spark, [(0.0, 0.0, 0.0)]), frame(spark, right), ["k"], XYZ, 2, leaf=leaf).collect()
         assert sorted((r["n_x"], r["n_y"], r["n_z"]) for r in got) == [(-1.0, 0.0, 0.0), (0.0, -1.0, 0.0)]
+
+
+def test_touching_groups_of_any_size(spark, monkeypatch):
+    """Groups of few pairs and larger ones tell the same."""
+    rng = np.random.default_rng(12)
+    rows = [pd.DataFrame(rng.uniform(0, 3, (40, 3)), columns=XYZ).assign(a=rng.integers(0, 4, 40), b=rng.integers(4, 7, 40)) for _ in "po"]
+    probes, others = (spark.createDataFrame(r) for r in rows)
+    met = rows[0].merge(rows[1], on=["a", "b"])
+    near_by = ((met[["x_x", "y_x", "z_x"]].to_numpy() - met[["x_y", "y_y", "z_y"]].to_numpy()) ** 2).sum(1) <= 0.64
+    want = {tuple(r) for r in met.loc[near_by, ["a", "b"]].itertuples(index=False)}
+    for few in (0, 12, 4096):
+        monkeypatch.setattr(n, "FEW_PAIRS", few)
+        got = n._touching(probes, others, ["a", "b"], 0.8, 32).collect()
+        assert {tuple(r) for r in got} == want and 0 < len(want) < 12
