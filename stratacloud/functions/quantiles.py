@@ -44,13 +44,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column | str, ranks:
     guard = 4.0 / accuracy
     probes = [max(0.0, s - guard) for s in shares] + [min(1.0, s + guard) for s in shares]
     sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", probes, accuracy).alias("_s"))
-    whole = F.array(F.struct(F.lit(0).alias("band"), F.col("_min").alias("lo"), F.col("_max").alias("hi")))
+        F.count("*").alias("_n"), F.percentile_approx("_v", probes, accuracy).alias("_s"))
+    # Ends of a group are open (nothing is above NaN): a value that is a sum of doubles can differ in its last digit when
+    # the second pass computes it again, and would lie outside ends taken from the first.
+    least, most = F.lit(float("-inf")), F.lit(float("nan"))
+    whole = F.array(F.struct(F.lit(0).alias("band"), least.alias("lo"), most.alias("hi")))
     narrow = F.array(*[
         F.struct(F.lit(i).alias("band"),
-                 F.when(F.lit(probes[i] <= 0.0), F.col("_min")).otherwise(F.col("_s")[i]).alias("lo"),
-                 F.when(F.lit(probes[len(names) + i] >= 1.0), F.col("_max"))
+                 F.when(F.lit(probes[i] <= 0.0), least).otherwise(F.col("_s")[i]).alias("lo"),
+                 F.when(F.lit(probes[len(names) + i] >= 1.0), most)
                  .otherwise(F.col("_s")[len(names) + i]).alias("hi"))
         for i in range(len(names))])
     bands = sketch.select(*keys, F.when(F.col("_n") <= small_group, whole).otherwise(narrow).alias("_bands"))

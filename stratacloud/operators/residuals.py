@@ -193,7 +193,7 @@ def stereo_metrics(bars: DataFrame, keys: tuple = ("split", "technique"), far: t
 
 def split_interval(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Mean, 2.5 and 97.5 percentile and count of the finite values per key (one value per split)."""
-    clean = values.withColumn(value, not_nan(value))
+    clean = cut_lineage(values.select(*keys, not_nan(value).alias(value)))     # read by every pass of the quantiles
     plain = clean.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return with_quantiles(clean, plain, keys, value, {"lo": ("linear", INTERVAL[0]), "hi": ("linear", INTERVAL[1])})
 
