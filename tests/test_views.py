@@ -59,3 +59,32 @@ def test_grip(spark):
     directions = spark.createDataFrame([("m", 1, 1.0, 0.0, 0.0), ("m", 2, 1.0, 0.0, 0.0)], "method string, frame int, tx double, ty double, tz double")
     row = n.grip_medians(n.grip_counts(normals, directions, ["method", "frame"]), ["method"]).withColumn("one", F.lit(1)).first()
     assert (row["frames"], row["grip"], row["points"]) == (2, 1.0, 1.5)
+
+
+def test_source_views_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(views, "LEAST_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = []
+    for rec, n in (("a", 150), ("b", 40)):
+        c, a = rng.normal(0, 150, (n, 3)), rng.normal(0, 0.3, (n, 3)) + [0, 0, 1]
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        c[n // 2:] = c[:n - n // 2]         # copies of a view: the name decides
+        a[n // 2:] = a[:n - n // 2]
+        c[1] = c[0] + 450 * a[0]            # stands on the target, so no angle is known
+        rows += [(rec, f"v{k:03d}", f"v{k ^ 1:03d}", *map(float, c[k]), *map(float, a[k])) for k in range(n)]
+    df = pd.DataFrame(rows, columns=["rec", "name", "partner", "cx", "cy", "cz", "ax", "ay", "az"])
+    want = []
+    for rec, part in df.groupby("rec"):
+        c, a, names = part[["cx", "cy", "cz"]].to_numpy(), part[["ax", "ay", "az"]].to_numpy(), part["name"].to_numpy()
+        for k in range(len(part)):
+            t = c[k] + 450 * a[k]
+            back, o = c[k] - t, c - t
+            with np.errstate(all="ignore"):
+                far = np.sqrt((o ** 2).sum(1))
+                angle = np.degrees(np.arccos(np.clip(o @ back / np.linalg.norm(back) / far, -1, 1)))
+                off = np.degrees(np.arccos(np.clip(-(o * a).sum(1) / far, -1, 1)))
+            good = np.flatnonzero((angle >= 4) & (angle <= 40) & (off <= 35) & (names != names[k]))
+            best = sorted(good, key=lambda j: (names[j] != part["partner"].iloc[k], round(abs(angle[j] - 15), 9), names[j]))[:4]
+            want += [(rec, names[k], r + 1, names[j], round(angle[j], 6)) for r, j in enumerate(best)]
+    got = views.ranked_sources(spark.createDataFrame(df), 4, 450.0, ["rec"])
+    assert sorted((r["rec"], r["name"], r["rank"], r["other"], round(r["angle"], 6)) for r in got.collect()) == sorted(want)
