@@ -112,7 +112,11 @@ def pose_quaternion(t: Column | str) -> Column:
 def project(point, k: tuple, d: tuple) -> tuple[Column, Column]:
     """Pixel of a camera-frame point; k = (fx, fy, cx, cy), d = (k1, k2, p1, p2, k3). Null at or behind the camera."""
     x, y, z = point
-    xn, yn = F.when(z > 0, x / z), F.when(z > 0, y / z)
+    return project_normalised(F.when(z > 0, x / z), F.when(z > 0, y / z), k, d)
+
+
+def project_normalised(xn, yn, k: tuple, d: tuple) -> tuple:
+    """Pixel of a normalised ray, for columns and arrays alike."""
     r2 = xn * xn + yn * yn
     radial = 1 + r2 * (d[0] + r2 * (d[1] + r2 * d[4]))
     xd = xn * radial + 2 * d[2] * xn * yn + d[3] * (r2 + 2 * xn * xn)

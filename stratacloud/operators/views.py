@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratacloud.functions.geometry import apply_pose, project
+from stratacloud.functions.geometry import project_normalised
 from stratacloud.functions.near import _tasks
-from stratacloud.functions.quantiles import exact_quantiles
 from stratacloud.operators.fit import join_keys
 from stratacloud.operators.sync import SOURCE_ANGLE_RANGE, SOURCE_MAX_OFF_AXIS, SOURCE_TARGET_ANGLE
 from stratacloud.session import cut_lineage
@@ -15,6 +14,7 @@ from stratacloud.session import cut_lineage
 BLOCKS = 64                                 # blocks of views aimed at, so that few views still spread over the tasks
 LEAST_BLOCK, MOST_BLOCK = 256, 4096         # views in a block
 TOGETHER = 32                               # references that meet a block in one step
+FRAMES = 64                                 # frames that meet the sample of best_view in one step
 HELD = 1 << 18                              # pairs a block of references holds before it keeps the best only
 
 def ranked_sources(views: DataFrame, n: int, depth: float, keys: list[str]) -> DataFrame:
@@ -155,17 +155,34 @@ def best_view(points: DataFrame, poses: DataFrame, k: tuple, d: tuple, size: tup
     out; then the largest share inside the image, then the median pixel nearest the image centre.
 
     The sample (the operator's own feature) is the `samples` rows with the smallest coordinate hash, so it is bounded
-    by a parameter and fit for broadcasting; the work is one row per frame and sample."""
+    by a parameter and travels with the tasks; a batch of frames meets it as matrices, so no row per frame and sample is
+    made. Poses with a null or NaN entry see nothing and are out."""
     sample = points.select("x", "y", "z").withColumn("_h", F.xxhash64("x", "y", "z")).orderBy("_h", "x", "y", "z").limit(samples)
-    seen = poses.select("frame", "T").crossJoin(F.broadcast(sample)).select(
-        "frame", *[c.alias(a) for a, c in zip("xyz", apply_pose("T", [F.col("x"), F.col("y"), F.col("z")]))])
-    front = seen.groupBy("frame").agg(F.min("z").alias("_z")).where(F.col("_z") > 0).select("frame")
-    u, v = project([F.col("x"), F.col("y"), F.col("z")], k, d)
-    pixels = seen.join(front, "frame", "left_semi").select("frame", u.alias("u"), v.alias("v"))
-    inside = (F.col("u") >= 0) & (F.col("u") < size[0]) & (F.col("v") >= 0) & (F.col("v") < size[1])
-    share = pixels.groupBy("frame").agg(F.avg(inside.cast("double")).alias("inside"))
-    mu = exact_quantiles(pixels, ["frame"], "u", {"mu": ("linear", 0.5)})
-    mv = exact_quantiles(pixels, ["frame"], "v", {"mv": ("linear", 0.5)})
-    return share.join(mu, "frame").join(mv, "frame").withColumn(
-        "off_centre", F.hypot(F.col("mu") - size[0] / 2, F.col("mv") - size[1] / 2)).orderBy(
-        F.desc("inside"), "off_centre", "frame").limit(1).select("frame", "inside", "off_centre")
+    taken = [(r["x"], r["y"], r["z"]) for r in sample.collect()]
+
+    def see(batches):
+        import numpy as np
+
+        nothing = float("nan")
+        x, y, z = (np.array([nothing if p[a] is None else p[a] for p in taken], float)[None, :] for a in range(3))
+        asked = ~(np.isnan(x) | np.isnan(y) | np.isnan(z))[0]
+        x, y, z = x[:, asked], y[:, asked], z[:, asked]
+        for batch in batches:
+            batch = batch[[t is not None and len(t) >= 12 for t in batch["T"]]]
+            for start in range(0, len(batch), FRAMES):
+                part = batch.iloc[start:start + FRAMES]
+                t = np.stack([np.asarray(m, float)[:12] for m in part["T"]])[:, :, None]
+                depth = t[:, 8] * x + t[:, 9] * y + t[:, 10] * z + t[:, 11]
+                front = (depth > 0).all(1) if x.size else np.zeros(len(part), bool)
+                if not front.any():
+                    continue
+                t, depth = t[front], depth[front]
+                a = (t[:, 0] * x + t[:, 1] * y + t[:, 2] * z + t[:, 3]) / depth
+                b = (t[:, 4] * x + t[:, 5] * y + t[:, 6] * z + t[:, 7]) / depth
+                u, v = project_normalised(a, b, k, d)
+                inside = ((u >= 0) & (u < size[0]) & (v >= 0) & (v < size[1])).mean(1)
+                off = np.hypot(np.median(u, 1) - size[0] / 2, np.median(v, 1) - size[1] / 2)
+                yield part[["frame"]][front].assign(inside=inside, off_centre=off)
+
+    seen = poses.select("frame", "T").mapInPandas(see, f"frame {dict(poses.dtypes)['frame']}, inside double, off_centre double")
+    return seen.orderBy(F.desc("inside"), "off_centre", "frame").limit(1)

@@ -88,3 +88,12 @@ def test_source_views_equal_brute_force(spark, monkeypatch):
             want += [(rec, names[k], r + 1, names[j], round(angle[j], 6)) for r, j in enumerate(best)]
     got = views.ranked_sources(spark.createDataFrame(df), 4, 450.0, ["rec"])
     assert sorted((r["rec"], r["name"], r["rank"], r["other"], round(r["angle"], 6)) for r in got.collect()) == sorted(want)
+
+
+def test_best_view_makes_no_row_per_frame_and_point(spark):
+    points = spark.range(200).select(*[(F.rand(k) * 10 + 50).alias(a) for k, a in enumerate(XYZ)])
+    poses = spark.createDataFrame([(f, [float(v) for v in (1, 0, 0, 0.1 * f, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)]) for f in range(5)] + [(9, None)], "frame long, T array<double>")
+    best = views.best_view(points, poses, (500.0, 500.0, 320.0, 240.0), (0.0,) * 5, (640, 480), 100)
+    plan = best._jdf.queryExecution().toString()
+    assert best.count() == 1 and best.first()["frame"] != 9
+    assert "Join" not in plan and "Aggregate" not in plan
