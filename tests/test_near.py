@@ -248,3 +248,21 @@ def test_touching_groups_of_any_size(spark, monkeypatch):
         monkeypatch.setattr(n, "FEW_PAIRS", few)
         got = n._touching(probes, others, ["a", "b"], 0.8, 32).collect()
         assert {tuple(r) for r in got} == want and 0 < len(want) < 12
+
+
+def test_cross_check_equals_brute_force_without_a_row_per_pair(spark):
+    from stratacloud.operators import neighbours
+
+    rng = np.random.default_rng(11)
+    sparse = np.c_[rng.uniform(0, 6, (300, 2)), rng.integers(0, 9, 300)].astype(float)
+    sparse = np.vstack([sparse, sparse[:80], sparse[:80]])
+    dense = np.vstack([rng.uniform(-3, 8, (200, 2)), sparse[:40, :2] + [1.2, 0]])
+    dense = np.c_[dense, rng.uniform(0, 9, len(dense))]
+    frames = [spark.createDataFrame(pd.DataFrame(p, columns=["x", "y", "z"]).assign(k="a")) for p in (sparse, dense)]
+    checked = neighbours.cross_check(*frames, ["k"], 1.2, 5, 2.0)
+    got = {(r["x"], r["y"], r["z"]): (r["support"], r["verdict"]) for r in checked.collect()}
+    for x, y, z in dense:
+        met = sparse[np.sqrt((sparse[:, 0] - x) ** 2 + (sparse[:, 1] - y) ** 2) <= 1.2, 2]
+        want = "unchecked" if len(met) < 5 else "agree" if abs(z - np.median(met)) <= 2 else "disagree"
+        assert got[(x, y, z)] == (len(met), want)
+    assert "CoGroup" in checked._jdf.queryExecution().toString()
