@@ -293,3 +293,26 @@ def test_starts_are_assessed_as_runs_of_their_own(spark):
         from_here = poses.where(poses.frame >= start)
         want = t.assess(from_here, from_here, ["rec"]).first()
         assert {c: verdict[c] for c in want.asDict()} == want.asDict()
+
+
+def test_point_icp_copies_weigh_and_make_no_row_per_pair(spark):
+    rng = np.random.default_rng(8)
+    target = rng.uniform(0, 12, (400, 3))
+    source = target[:150] + [0.2, -0.1, 0.05]
+    source = np.vstack([source, np.repeat(source[:30] + [0.1, 0.1, 0], 3, 0), [[90.0, 90.0, 90.0]]])
+    a, b = (spark.createDataFrame(pd.DataFrame(p, columns=["x", "y", "z"]).assign(k="s")) for p in (source, target))
+    row = registration.icp(a, b, ["k"], 1.0, plane=False, iterations=1).first()
+
+    def met(p):
+        d = np.sqrt(((p[:, None] - target[None]) ** 2).sum(2))
+        return d.min(1) <= 1.0, target[d.argmin(1)], d.min(1)
+
+    near, to, _ = met(source)
+    p, q = source[near], to[near]
+    u, _, vt = np.linalg.svd((q - q.mean(0)).T @ (p - p.mean(0)))
+    turn = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+    moved = source @ turn.T + (q.mean(0) - turn @ p.mean(0))
+    near, _, d = met(moved)
+    assert row["fitness"] == pytest.approx(near.mean()) and row["inlier_rmse"] == pytest.approx(np.sqrt((d[near] ** 2).mean()), abs=1e-9)
+    pairs = registration._matches(a.withColumn("T", registration.identity()), b, ["k"], False, 1.0)
+    assert "Join" not in pairs._jdf.queryExecution().toString()
