@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stratacloud.functions import near
 from stratacloud.operators import neighbours as n
@@ -156,6 +157,23 @@ def test_closest_on_mesh(spark, huge):
         assert r.distance == pytest.approx(np.linalg.norm(p - [r.qx, r.qy, r.qz]), abs=1e-9)
 
 
+def test_closest_on_mesh_sends_no_row_per_point_and_box(spark):
+    """Points meet the mesh inside their leaves: no join of points is left. A missing key is a key of its own."""
+    rng = np.random.default_rng(11)
+    places = frame(spark, rng.uniform(-2, 22, (1500, 3)))
+    points = places.unionByName(places.limit(40).withColumn("k", F.lit(None).cast(dict(places.dtypes)["k"])))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = n.closest_on_mesh(places.where("k IS NOT NULL"), triangles(spark), ["k"])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = n.closest_on_mesh(points, triangles(spark), ["k"]).toPandas()
+    assert len(got) == 1540 and got["k"].isna().sum() == 40
+    by_place = got.groupby(XYZ)["distance"].agg(["min", "max"])
+    assert (by_place["min"] == by_place["max"]).all()
+
+
 def test_crowded_left_cell_makes_no_large_group(spark):
     """Half of the left points in a ball far smaller than the rest, all with the same few right points."""
     from stratacloud.functions import boxes
