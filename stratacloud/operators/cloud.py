@@ -100,15 +100,15 @@ def oblique_raster(points: DataFrame, azimuth: float, elevation: float, pixel_mm
     extent = view.agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
     steps = F.array(*[F.lit(k) for k in range(-splat, splat + 1)])
     size = F.lit(float(pixel_mm))
-    drawn = (view.crossJoin(F.broadcast(extent))
-             .withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
-             .withColumn("row_", F.floor((F.col("v1") - F.col("v")) / size) + F.col("dr"))
-             .withColumn("col_", F.floor((F.col("u") - F.col("u0")) / size) + F.col("dc"))
-             .where((F.col("row_") >= 0) & (F.col("col_") >= 0)
-                    & (F.col("row_") <= F.ceil((F.col("v1") - F.col("v0")) / size))
-                    & (F.col("col_") <= F.ceil((F.col("u1") - F.col("u0")) / size))))
-    return (drawn.groupBy(*keys, "row_", "col_")
-            .agg(F.min(F.struct("depth", "grey", "x", "y", "z")).alias("p"))
+    placed = (view.crossJoin(F.broadcast(extent))
+              .withColumn("row_", F.floor((F.col("v1") - F.col("v")) / size)).withColumn("col_", F.floor((F.col("u") - F.col("u0")) / size))
+              .withColumns({"rows_": F.ceil((F.col("v1") - F.col("v0")) / size), "cols_": F.ceil((F.col("u1") - F.col("u0")) / size)}))
+    # the nearest point of a pixel's own points paints the square for all of them
+    nearest = placed.groupBy(*keys, "row_", "col_", "rows_", "cols_").agg(F.min(F.struct("depth", "grey", "x", "y", "z")).alias("p"))
+    drawn = (nearest.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+             .withColumns({"row_": F.col("row_") + F.col("dr"), "col_": F.col("col_") + F.col("dc")})
+             .where((F.col("row_") >= 0) & (F.col("col_") >= 0) & (F.col("row_") <= F.col("rows_")) & (F.col("col_") <= F.col("cols_"))))
+    return (drawn.groupBy(*keys, "row_", "col_").agg(F.min("p").alias("p"))
             .select(*keys, "row_", "col_", F.col("p.depth").alias("depth"), F.col("p.grey").alias("grey")))
 
 
