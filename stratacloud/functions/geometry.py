@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacloud.functions.columns import clip_unit, col, norm, total
+from stratacloud.session import cut_lineage
 
 
 def dot(a, b) -> Column:
@@ -125,20 +127,26 @@ def project_normalised(xn, yn, k: tuple, d: tuple) -> tuple:
 
 
 def undistort(u: Column, v: Column, k: tuple, d: tuple, steps: int = 20) -> Column:
-    """Normalised ray struct(x, y) of a pixel: the distortion removed by a fixed number of fixed-point steps, folded so
-    that the expression does not grow with the steps."""
-    x0, y0 = (u - k[2]) / k[0], (v - k[3]) / k[1]
-    start = F.struct(x0.alias("x"), y0.alias("y"))
-
-    def step(s: Column, _: Column) -> Column:
-        x, y = s["x"], s["y"]
-        r2 = x * x + y * y
-        radial = 1 + r2 * (d[0] + r2 * (d[1] + r2 * d[4]))
-        dx = 2 * d[2] * x * y + d[3] * (r2 + 2 * x * x)
-        dy = d[2] * (r2 + 2 * y * y) + 2 * d[3] * x * y
-        return F.struct(((x0 - dx) / radial).alias("x"), ((y0 - dy) / radial).alias("y"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    """Normalised ray struct(x, y) of a pixel: the distortion removed by a fixed number of fixed-point steps, taken by a
+    batch of pixels at once."""
+    @F.arrow_udf("struct<x:double,y:double>")
+    def rays(us: pa.Array, vs: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        missing = pc.or_(pc.is_null(us), pc.is_null(vs)).to_numpy(zero_copy_only=False)
+        x0, y0 = ((c.to_numpy(zero_copy_only=False).astype(float) - k[2 + i]) / k[i] for i, c in enumerate((us, vs)))
+        x, y = x0, y0
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                r2 = x * x + y * y
+                radial = 1 + r2 * (d[0] + r2 * (d[1] + r2 * d[4]))
+                dx = 2 * d[2] * x * y + d[3] * (r2 + 2 * x * x)
+                dy = d[2] * (r2 + 2 * y * y) + 2 * d[3] * x * y
+                x, y = (x0 - dx) / radial, (y0 - dy) / radial
+        return pa.StructArray.from_arrays([pa.array(x, mask=missing), pa.array(y, mask=missing)], names=["x", "y"])
+
+    return rays(col(u).cast("double"), col(v).cast("double"))
 
 
 def reprojection_rms(squared_left: Column, squared_right: Column) -> Column:
@@ -248,7 +256,8 @@ def masked_pixels(quads: DataFrame, size: tuple, scale: float = 1.6, keys: list[
                     F.least(F.lit(limit - 1), F.array_max(values)).cast("int"))
     sized = grown.withColumns({"u0": spans["u"][0], "u1": spans["u"][1], "v0": spans["v"][0], "v1": spans["v"][1]}).where(
         (F.col("u0") <= F.col("u1")) & (F.col("v0") <= F.col("v1")))
-    rows = sized.withColumn("row_", F.explode(F.sequence("v0", "v1")))
+    # quads that cover the same pixels of an image make them once
+    rows = sized.distinct().withColumn("row_", F.explode(F.sequence("v0", "v1")))
     pixels = rows.withColumn("col_", F.explode(F.sequence("u0", "u1")))
     return pixels.where(in_convex(F.col("col_"), F.col("row_"), F.col("g"))).select(*keys, "row_", "col_").distinct()
 
@@ -256,9 +265,9 @@ def masked_pixels(quads: DataFrame, size: tuple, scale: float = 1.6, keys: list[
 def mask_summary(frames: DataFrame, poses: DataFrame, pixels: DataFrame, size: tuple) -> DataFrame:
     """Per image the masked share, and the status of its frame: projected (it has a pose), detected_only, unmasked."""
     area = F.lit(float(size[0] * size[1]))
-    share = pixels.groupBy("frame", "camera").agg((F.count("*") / area).alias("masked"))
+    share = cut_lineage(pixels.groupBy("frame", "camera").agg((F.count("*") / area).alias("masked")))     # pixels are made once
     posed = poses.select("frame").distinct().withColumn("_posed", F.lit(True))
-    seen = pixels.select("frame").distinct().withColumn("_seen", F.lit(True))
+    seen = share.select("frame").distinct().withColumn("_seen", F.lit(True))
     return (frames.join(share, ["frame", "camera"], "left").join(posed, "frame", "left").join(seen, "frame", "left")
             .select("frame", "camera", F.coalesce("masked", F.lit(0.0)).alias("masked"),
                     F.when(F.col("_posed"), "projected").when(F.col("_seen"), "detected_only").otherwise("unmasked").alias("status")))

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from stratacloud.functions import geometry as g
 from stratacloud.operators import cloud
 
 
@@ -17,3 +19,24 @@ def test_oblique_raster_paints_one_point_of_a_pixel(spark):
     assert "min(" in optimized(found).rsplit("Generate explode", 1)[1].split("Join")[0]
     twice = cloud.oblique_raster(points.unionByName(points), 30.0, 40.0, 1.0, 1, ["method"])
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, twice.collect()))
+
+
+def test_equal_quads_make_their_pixels_once(spark):
+    quad = [(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)]
+    quads = spark.createDataFrame([(f, "O", quad) for f in (0, 1)] * 40, "frame long, camera string, quad array<struct<u:double,v:double>>")
+    found = g.masked_pixels(quads, (20, 20))
+    assert "Aggregate" in optimized(found).rsplit("Generate explode", 1)[1]
+    assert found.count() == 2 * g.masked_pixels(quads.limit(1), (20, 20)).count()
+
+
+def test_undistorted_rays_come_by_the_batch(spark):
+    k, d = (800.0, 810.0, 400.0, 300.0), (0.1, -0.02, 0.001, 0.002, 0.003)
+    pixels = spark.createDataFrame([(10.0, 20.0), (700.0, 90.0), (None, 5.0), (float("nan"), 5.0)], "u double, v double")
+    rays = pixels.select(g.undistort(F.col("u"), F.col("v"), k, d).alias("r")).select("r.*")
+    assert "ArrowEvalPython" in optimized(rays)
+    rows = rays.collect()
+    assert rows[2]["x"] is None and rows[2]["y"] is None and np.isnan(rows[3]["x"])
+    for (u, v), r in zip(((10.0, 20.0), (700.0, 90.0)), rows):
+        back = spark.range(1).select(F.lit(r["x"]).alias("x"), F.lit(r["y"]).alias("y"), F.lit(1.0).alias("z")).select(
+            *g.project([F.col(a) for a in "xyz"], k, d)).first()
+        assert np.allclose(back, (u, v), atol=1e-3)
