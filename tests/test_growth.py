@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from stratacloud.functions import geometry as g
+from stratacloud.functions import near
 from stratacloud.operators import cloud
 
 
@@ -40,3 +41,21 @@ def test_undistorted_rays_come_by_the_batch(spark):
         back = spark.range(1).select(F.lit(r["x"]).alias("x"), F.lit(r["y"]).alias("y"), F.lit(1.0).alias("z")).select(
             *g.project([F.col(a) for a in "xyz"], k, d)).first()
         assert np.allclose(back, (u, v), atol=1e-3)
+
+
+def test_small_shared_target_travels_to_the_points(spark, monkeypatch):
+    """The same matches as cell by cell, and no shuffle."""
+    rng = np.random.default_rng(7)
+    places = np.r_[rng.uniform(0, 12, (300, 3)), np.round(rng.uniform(0, 12, (300, 3)))]
+    target = spark.createDataFrame(pd.DataFrame(places, columns=["x", "y", "z"]).assign(nx=0.0, ny=places[:, 0], nz=1.0))
+    left = spark.createDataFrame(pd.DataFrame(np.r_[rng.uniform(-1, 13, (400, 3)), np.round(rng.uniform(0, 12, (200, 3))) + 0.5],
+                                              columns=["x", "y", "z"]).assign(frame=np.arange(600) % 5, _w=1))
+    few = near.few_places(target, ["x", "y", "z"], ["nx", "ny", "nz"])
+    found = near.nearest_of_few(left, few, ["x", "y", "z"], ["nx", "ny", "nz"], 1.5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    columns = ["frame", "x", "y", "z", "n_x", "n_y", "n_z", "d"]
+    cells = near.nearest_in_cells(left, target, [], ["x", "y", "z"], 1.5)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, cells.select(columns).collect()))
+    assert all(r["ny"] == r["n_x"] for r in found.collect())
+    monkeypatch.setattr(near, "FEW_PLACES", 10)
+    assert near.few_places(target, ["x", "y", "z"], []) is None
