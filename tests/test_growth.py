@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratacloud.functions import geometry as g
 from stratacloud.functions import near
-from stratacloud.operators import cloud
+from stratacloud.operators import cloud, neighbours, registration
 
 
 def optimized(df):
@@ -59,3 +59,21 @@ def test_small_shared_target_travels_to_the_points(spark, monkeypatch):
     assert all(r["ny"] == r["n_x"] for r in found.collect())
     monkeypatch.setattr(near, "FEW_PLACES", 10)
     assert near.few_places(target, ["x", "y", "z"], []) is None
+
+
+def test_points_ask_few_triangles_of_a_model(spark):
+    """Every row of the points, copies too, stays where it is and gets the closest point of the mesh."""
+    rng = np.random.default_rng(9)
+    height = rng.uniform(0, 3, (9, 9))
+    rows = [(i * 100 + j * 2 + half, *[float(v) for x, y in corners for v in (x, y, height[x, y])]) for i in range(8) for j in range(8)
+            for half, corners in enumerate((((i, j), (i + 1, j), (i + 1, j + 1)), ((i, j), (i + 1, j + 1), (i, j + 1))))]
+    mesh = neighbours.with_normals(spark.createDataFrame(rows, ["tri", *neighbours.CORNERS]))
+    places = rng.uniform(-3, 11, (700, 3))
+    points = spark.createDataFrame(pd.DataFrame(np.r_[places, places[:20]], columns=["x", "y", "z"]).assign(start=0, limit=2.0))
+    few = mesh.collect()
+    found = registration._closest_to_model(points, mesh, few)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = points.join(neighbours.closest_on_mesh(points, mesh.drop("nx", "ny", "nz", "area"), ["start"]), ["start", "x", "y", "z"])
+    columns = ["x", "y", "z", "tri", "qx", "qy", "qz", "distance", "limit"]
+    got, want = (np.array(sorted(map(tuple, df.select(columns).collect()))) for df in (found, want))
+    assert len(got) == 720 and np.allclose(got, want)
