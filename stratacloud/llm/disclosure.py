@@ -79,11 +79,17 @@ def entities(base: Column) -> Column:
 
 
 def occurring(rows: DataFrame) -> DataFrame:
-    """Of marked rows, one for each different text: _tkey, _entities, and _terms, the distinct words outside addresses."""
+    """Of marked rows, one for each different text: _tkey, _entities, and _terms, the distinct words outside addresses,
+    joined by spaces: as a list each word would take 16 bytes more where texts are shuffled."""
     # the other kinds of base spans hold no letters
     plain = F.when(F.col("_text").contains("@"), F.regexp_replace("_text", EMAIL, " ")).otherwise(F.col("_text"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(1)))
-    return rows.select("_tkey", entities(F.col("_base")).alias("_entities"), words.alias("_terms")).dropDuplicates(["_tkey"])
+    return rows.select("_tkey", entities(F.col("_base")).alias("_entities"), F.array_join(words, " ").alias("_terms")).dropDuplicates(["_tkey"])
+
+
+def _listed(terms: str = "_terms") -> Column:
+    """The words of a joined list."""
+    return F.filter(F.split(terms, " "), lambda t: t != "")
 
 
 def disclosing_terms(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -92,18 +98,18 @@ def disclosing_terms(docs: DataFrame, texts: DataFrame | None = None) -> DataFra
     texts gives, per different text of docs, _tkey, _entities and _terms (occurring), if they are at hand."""
     texts = texts if texts is not None else written(occurring(marked(docs)), "texts")
     held = texts.filter(F.size("_entities") > 0)
-    terms = texts.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    terms = texts.select(F.explode(_listed()).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
     total = texts.agg(F.count("*").alias("n"))      # one row
     own = F.log2(F.col("n") / F.col("with_value"))
     of_name = F.col("value") == F.concat(F.lit("name:"), F.col("term"))
-    values = (held.select(F.size("_terms").alias("words"), F.explode("_entities").alias("value")).groupBy("value")
+    values = (held.select(F.size(_listed()).alias("words"), F.explode("_entities").alias("value")).groupBy("value")
               .agg(F.count("*").alias("with_value"), F.log2(F.sum("words")).alias("needed")))
     values = written(values, "values")
     # a term's support is at most with_value and its bits at most own: where these are too little, none need be counted
     able = values.crossJoin(F.broadcast(total)).filter((F.col("with_value") - 1) * own > F.col("needed")).select("value")
     counted = (held.select("_terms", F.explode("_entities").alias("value")).join(able, "value", "left_semi")
-               .select("value", F.explode("_terms").alias("term")))
-    named = F.array_intersect(F.transform("_terms", lambda t: F.concat(F.lit("name:"), t)), F.col("_entities"))
+               .select("value", F.explode(_listed()).alias("term")))
+    named = F.array_intersect(F.transform(_listed(), lambda t: F.concat(F.lit("name:"), t)), F.col("_entities"))
     names = held.select(F.explode(named).alias("value")).join(able, "value", "left_anti").select("value", F.substring_index("value", ":", -1).alias("term"))
     # partial counts by pair: no task meets all texts of a common entity or term
     pairs = counted.unionByName(names).groupBy("value", "term").agg(F.count("*").alias("support"))
@@ -130,14 +136,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     terms = written(disclosing_terms(docs, texts).groupBy("value")
                     .agg(*[F.collect_list(F.when(F.col("action") == a, F.col("term"))).alias(f"_{a}") for a in TERM_KINDS]), "terms")
     per_text = texts.filter(F.size("_entities") > 0).select("_tkey", "_terms", F.explode("_entities").alias("value")).join(terms, "value")
-    per_text = (per_text.select("_tkey", *[F.array_intersect("_terms", f"_{a}").alias(f"_{a}") for a in TERM_KINDS])
+    per_text = (per_text.select("_tkey", *[F.array_intersect(_listed(), f"_{a}").alias(f"_{a}") for a in TERM_KINDS])
                 .groupBy("_tkey").agg(*[F.array_distinct(F.flatten(F.collect_list(f"_{a}"))).alias(f"_{a}") for a in TERM_KINDS]))
     # a word that one entity has removed is not generalised for another
     per_text = per_text.withColumn("_hint", F.array_except("_hint", "_term")).filter((F.size("_term") > 0) | (F.size("_hint") > 0))
     per_text = per_text.select("_tkey", *[F.array_join(F.transform(F.array_sort(f"_{a}"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|").alias(f"_{a}")
                                           for a in TERM_KINDS])
     per_text = written(per_text, "text-terms")
-    rows = rows.join(per_text, "_tkey", "left")
+    # only texts with base spans can have terms: the others are read again and stay where they are
+    bare = rows.where(F.size("_base") == 0).withColumns({f"_{a}": F.lit(None).cast("string") for a in TERM_KINDS})
+    rows = rows.where(F.size("_base") > 0).join(per_text, "_tkey", "left").unionByName(bare)
     none = F.array().cast(f"array<{SPAN}>")
 
     def word_spans(action: str) -> Column:
