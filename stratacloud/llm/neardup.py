@@ -86,7 +86,7 @@ def estimate(one: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray) ->
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, tkey, n_shingles, node (16 bytes; null without words), signature of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             counts, nodes, signatures = [], [], []
             for hashes in shingle_sets(*text_bytes(batch), size):
                 counts.append(len(hashes))
@@ -205,10 +205,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, block_shi
     clusters = components(_rare_chains(loose, percent)).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
     members = loose.select("id", "n").join(clusters, "id")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).alias("blocks"))
-    full = (loose.drop("cluster").join(clusters, "id").join(sizes, "cluster")
-            .withColumn("block", F.pmod(F.col("id"), F.col("blocks"))))
+    # a set's place is settled before the sets are moved, so they are moved once
+    places = written(clusters.join(sizes, "cluster"), "places")
+    full = loose.drop("cluster").join(places, "id").withColumn("block", F.pmod(F.col("id"), F.col("blocks")))
     full = written(full.select("node", "n", "signature", "shingles", "cluster", "blocks", "block"), "clustered-sets")
-    discard(loose)
+    discard(loose, places)
 
     schema = "a binary, b binary"
     alone = full.select("node", F.col("node").alias("label"), F.lit(0).alias("side"), "n", "signature", "shingles", "cluster", "block")
@@ -247,7 +248,7 @@ def _sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
         for whole in batches:
             place = whole.column("mark").to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
             wanted = (marks.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-            for batch in slices(iter([whole.filter(pa.array(wanted == 1))])):
+            for batch in slices(iter([whole.filter(pa.array(wanted == 1))]), 1 << 20):
                 sets = shingle_sets(*text_bytes(batch), size)
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 shingles = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(sets).view(np.int64)))
