@@ -23,7 +23,7 @@ WORDS = 50_000          # words in the model; also the bound of its n-grams
 LONGEST = 5
 STEP_COST = 0.4         # stupid back-off: weight of a word for each step to shorter n-grams
 REST = 0.5              # count of what a language was never seen with
-SLICE = 2 << 20         # bytes of text whose words are arrays at a time, but for longer texts
+SLICE = 1 << 20         # bytes of text whose words are arrays at a time, but for longer texts
 _MOST_UNKNOWN = 200_000  # scores of unknown words that a task keeps
 
 
