@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacloud.functions.columns import cell, col, total
-from stratacloud.functions.groups import with_group
+from stratacloud.functions.groups import computed, with_group
 from stratacloud.functions.matrices import solve_normal
 from stratacloud.functions.quantiles import cell_quantiles, exact_quantiles
 
@@ -412,7 +412,10 @@ def tsdf_voxels(points: DataFrame, poses: DataFrame, voxel: float = 1.0, trunc:
 
     intrinsics = frame_intrinsics(points, pixel_mm)
     raster = depth_raster(points, pixel_mm).select("frame", F.col("row_").cast("long").alias("row_"), F.col("col_").cast("long").alias("col_"), "depth", "grey")
-    setup = intrinsics.join(poses.select("frame", "T"), "frame")
+    # a pixel's ray has many times its bytes: the pixels are dealt over all tasks, not merged into few by their size, and
+    # a frame's few numbers go to them
+    raster = raster.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame", "row_", "col_")
+    setup = computed(intrinsics.join(poses.select("frame", "T"), "frame"))
     steps = int(math.ceil(trunc / voxel))
     offsets = F.array(*[F.lit(k * float(voxel)) for k in range(-steps, steps + 1)])
     # the pixel's centre ray, sampled through the band around its depth
