@@ -60,7 +60,7 @@ def test_object_places_count_the_points_of_the_object(spark):
 def test_blocks_hold_what_lies_within_reach(spark):
     p = np.random.default_rng(6).uniform(-10, 10, (500, 3))
     points = spark.createDataFrame(pd.DataFrame(np.vstack([p, p[:100]]), columns=XYZ))
-    rows = blocks.solved(blocks.deal(points, [], XYZ, 4.0, 1.5), [], XYZ, lambda p, w, block: [len(p), int(w.sum())], {"n": "bigint", "w": "bigint"}).collect()
+    rows = blocks.solved([blocks.deal(points, [], XYZ, 4.0, 1.5)], [], XYZ, lambda every, block: [len(every[0]), int(every[1].sum())], {"n": "bigint", "w": "bigint"}).collect()
     for row in rows:
         low = np.array(row[:3]) * 4.0
         inside = ((p >= low - 1.5) & (p <= low + 5.5)).all(1)
