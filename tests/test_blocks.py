@@ -66,3 +66,36 @@ def test_blocks_hold_what_lies_within_reach(spark):
         inside = ((p >= low - 1.5) & (p <= low + 5.5)).all(1)
         assert (row["n"], row["w"]) == (inside.sum(), inside.sum() + inside[:100].sum())
     assert blocks.crowd(points, [], XYZ, 100.0) >= 600 / 8
+
+
+def test_map_matched_equals_brute_force_and_moves_few_bytes(spark):
+    """30 frames through several blocks, the map of a frame being its last 10 that are not lost."""
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame(np.c_[np.repeat(np.arange(30), 400), rng.uniform(0, 40, (12_000, 2)), rng.uniform(0, 9, 12_000)], columns=["frame", *XYZ]).astype({"frame": int})
+    shift, lost = rng.uniform(-30, 30, (40, 3)), np.isin(np.arange(40), [3, 4, 17])
+    poses = [[1.0, 0, 0, s[0], 0, 1.0, 0, s[1], 0, 0, 1.0, s[2], 0, 0, 0, 1.0] for s in shift.tolist()]
+    frames = spark.createDataFrame([(f, [float(v) for v in poses[f]], int(lost[f])) for f in range(40)], "frame long, T array<double>, lost int")
+    points = spark.createDataFrame(rows.assign(grey=0.0)).repartition(4).cache()
+    assert points.count() == 12_000
+    start = shuffled(spark)
+    got = n.map_matched(points, frames, 1.0, 2.0, 10).toPandas()
+    assert shuffled(spark) - start < 12_000 * 400
+
+    def thin(p):
+        return pd.DataFrame(p).groupby([np.floor(p[:, k] / 2.0) for k in range(3)]).mean().to_numpy()
+
+    camera = {f: thin(g[XYZ].to_numpy()) for f, g in rows.groupby("frame")}
+    good = [f for f in range(30) if not lost[f]]
+    for f in range(30):
+        mine = got[got.frame == f]
+        assert len(mine) == len(camera[f])
+        if lost[f]:
+            assert mine.matched.isna().all()
+            continue
+        before = [r for r in good if r < f][-10:]
+        if not before:
+            assert mine.matched.all()
+            continue
+        target = thin(np.concatenate([camera[r] + shift[r] for r in before]))
+        d = np.sqrt((((mine[XYZ].to_numpy() + shift[f])[:, None] - target[None]) ** 2).sum(2)).min(1)
+        assert (mine.matched.to_numpy(bool) == (d <= 1.0)).all()
