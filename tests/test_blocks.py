@@ -99,3 +99,35 @@ def test_map_matched_equals_brute_force_and_moves_few_bytes(spark):
         target = thin(np.concatenate([camera[r] + shift[r] for r in before]))
         d = np.sqrt((((mine[XYZ].to_numpy() + shift[f])[:, None] - target[None]) ** 2).sum(2)).min(1)
         assert (mine.matched.to_numpy(bool) == (d <= 1.0)).all()
+
+
+def test_discs_by_lines_equal_all_pairs():
+    from stratacloud.functions.discs import Lines, few_lines
+
+    rng = np.random.default_rng(9)
+    for case in range(20):
+        q = np.c_[rng.integers(0, 6, 400) * rng.choice([0.6, 1.0]), np.round(rng.uniform(0, 9, 400), 1 + case % 3)]
+        z, w = rng.integers(0, 1 + 3 * case, 400).astype(float), rng.integers(1, 4, 400)
+        z[rng.uniform(size=400) < 0.1 * (case % 3)] = np.nan
+        p = np.vstack([q[:60] + [[1.2, 0]], q[:60], rng.uniform(-2, 11, (80, 2))])
+        support, median = Lines(q, z, w, 1.2).around(p)
+        assert few_lines(q) and not few_lines(p)
+        inside = np.sqrt((p[:, 0, None] - q[None, :, 0]) ** 2 + (p[:, 1, None] - q[None, :, 1]) ** 2) <= 1.2
+        assert (support == inside @ w).all()
+        for row, m in zip(inside, median):
+            met = np.repeat(z[row], w[row])
+            met = met[~np.isnan(met)]
+            assert np.isnan(m) if not len(met) else m == np.median(met)
+
+
+def test_discs_by_lines_look_at_no_pairs():
+    """100,000 points around each of 100,000 spots: the time must not hold their product."""
+    import time
+
+    from stratacloud.functions.discs import Lines
+
+    rng = np.random.default_rng(10)
+    q, p = (np.c_[rng.integers(0, 3, m), rng.uniform(0, 4, m)] for m in (300_000, 100_000))
+    start = time.time()
+    support, median = Lines(q, rng.integers(0, 11, len(q)).astype(float), np.ones(len(q), np.int64), 1.2).around(p)
+    assert time.time() - start < 30 and support.max() > 100_000 and set(np.unique(median)) <= set(np.arange(0, 10.5, 0.5))
