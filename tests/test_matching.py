@@ -72,3 +72,15 @@ def test_grid_finds_the_nearest_with_smaller_coordinates():
         every[every > r] = np.inf
         met = np.isfinite(every.min(1))
         assert (np.isfinite(d) == met).all() and (d[met] == every.min(1)[met]).all() and (at[met] == every.argmin(1)[met]).all()
+
+
+def test_frame_refinement_runs_all_its_rounds(spark, monkeypatch):
+    asked = []
+
+    def icp(source, target, keys, distance, start, plane, iterations, *rest):
+        asked.append((distance, iterations))
+        return start.selectExpr("frame", "T", "1D AS fitness", "0D AS inlier_rmse")
+
+    monkeypatch.setattr(registration, "icp", icp)
+    assert motion.f10(spark, "/root/testdata/sf0.001").count() == 4
+    assert asked == [(5.0, 30), (3.0, 30), (2.0, 30), (1.5, 30)]
