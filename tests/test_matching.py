@@ -84,3 +84,26 @@ def test_frame_refinement_runs_all_its_rounds(spark, monkeypatch):
     monkeypatch.setattr(registration, "icp", icp)
     assert motion.f10(spark, "/root/testdata/sf0.001").count() == 4
     assert asked == [(5.0, 30), (3.0, 30), (2.0, 30), (1.5, 30)]
+
+
+def test_model_fit_runs_all_its_starts_and_rounds_on_all_points(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(registration, "_fit_packed", lambda points, few, box, state, dof, height, margin, iterations: asked.append(
+        (points.count(), state.count(), iterations)) or (state, state.selectExpr("start", "CAST(1 AS BIGINT) AS inliers", "0D AS rms")))
+    assert motion.f8(spark, "/root/testdata/sf0.001").count() == 1
+    assert asked == [(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count(), 24, 60)]
+
+
+def test_median_of_residuals_is_exact(spark):
+    """Bins only say where to look."""
+    rng = np.random.default_rng(3)
+    parts = [(s, rng.uniform(0, 4, n) ** 2, rng.integers(1, 3, n)) for s, n in ((0, 501), (0, 300), (1, 40))]
+    rows = spark.createDataFrame([(s, bytearray(r.tobytes()), bytearray(w.tobytes())) for s, r, w in parts], "_g bigint, _r binary, _w binary")
+    limit, bins, total = np.array([20.0, 17.0]), np.zeros((2, registration.BINS), np.int64), np.zeros((2, 1))
+    for s, r, w in parts:
+        bins[s] += np.bincount(registration._bin(r, limit[s]), w, registration.BINS).astype(np.int64)
+        total[s] += w.sum()
+    found = registration._medians(rows, np.array([0, 1]), total, bins, limit)
+    for s in (0, 1):
+        every = np.concatenate([np.repeat(r, w) for k, r, w in parts if k == s])
+        assert found[s] == pytest.approx(np.median(every), abs=1e-15)
